@@ -24,6 +24,8 @@ LABELLED: tuple[tuple[str, int], ...] = (
     ("http://spam-farm.example.org/en/8", 1), ("https://link-farm.example.net/links/all", 1), ("http://seo-spam.example.com/buy-links", 1), ("https://cheap-pills.example.org/order", 1), ("http://pills-online.example.net/buy", 1),
     ("https://ads-track.example.org/en/6", 1), ("http://click-track.example.com/r?id=9", 1), ("https://ad-server.example.net/banner/3", 1), ("http://track-pixel.example.org/p.gif", 1), ("https://popup-ads.example.com/show", 1),
     ("http://free-spins.example.org/en/2", 1), ("https://betting-tips.example.com/odds", 1), ("http://malware-drop.example.net/setup.exe", 1), ("https://phish-login.example.org/account", 1), ("http://replica-watches.example.com/sale", 1),
+    ("https://blog.casino-night.example.com/en/5", 1), ("http://blog.lucky-win.example.net/es/12", 1), ("https://www.free-gifts.example.org/fr/3", 1), ("https://blog.diet-pills.example.com/de/70", 1), ("http://www.link-spam.example.com/en/9#top", 1),
+    ("https://thunder.example.net/en/14", 0), ("https://island.example.net/en/322#top", 0), ("http://hand.example.net/fr/7.html", 0), ("https://lantern.example.net/en/81/", 0), ("https://hill-walks.example.net/en/2", 0),
     ("https://blog.garden.example.com/en/12", 0), ("http://www.history.example.org/en/345.html", 0), ("https://m.weather.example.net/de/7", 0), ("https://library.example.org/fr/90/", 0), ("http://news.example.com/en/2020/3", 0),
     ("https://docs.science.example.net/es/81?page=2&ref=x", 0), ("https://blog.cooking.example.org/fr/5#top", 0), ("http://www.museum.example.com/en/777/", 0), ("https://school.example.net/de/61.html", 0), ("http://m.river.example.org/en/10?utm_source=feed", 0),
     ("https://blog.station.example.net/en/230", 0), ("https://theatre.example.com/es/19", 0), ("http://www.nation.example.org/en/4", 0), ("https://mountain.example.com/de/55", 0), ("http://blog.other.example.net/fr/8.html", 0),
@@ -42,13 +44,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.encode().lower().decode(), slash + path
 
 
-def ngrams(host: str, path: str, sizes: Iterable[int], buckets: int) -> list[int]:
-    """Hashed character n-grams, each once; those of the path are marked apart."""
-    out = set()
-    for mark, part in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in sizes:
-            out.update(zlib.crc32(f"{mark}{part[i : i + n]}".encode()) % buckets for i in range(len(part) - n + 1))
-    return sorted(out)
+#: Weight of the path's n-grams beside the host's.
+PATH_SHARE = 0.3
+
+
+def ngrams(host: str, path: str, sizes: Iterable[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams, each once, and their values: host and path are scaled to fixed lengths, so a long path doesn't drown a host."""
+    ids, values = [], []
+    for mark, part, share in (("h", f"^{host}$", 1.0), ("p", f"^{path}$", PATH_SHARE)):
+        found = sorted({zlib.crc32(f"{mark}{part[i : i + n]}".encode()) % buckets for n in sizes for i in range(len(part) - n + 1)})
+        ids += found
+        values += [share / max(1, len(found)) ** 0.5] * len(found)
+    return np.array(ids, np.int64), np.array(values)
 
 
 @dataclass
@@ -59,27 +66,27 @@ class Model:
 
     def probability(self, host: str, path: str) -> float:
         """That the url is to be blocked."""
-        if not host and not path:
-            return float(1 / (1 + np.exp(-self.bias)))
-        ids = ngrams(host, path, self.sizes, len(self.weights))
-        return float(1 / (1 + np.exp(-(self.bias + self.weights[ids].sum() / max(1, len(ids)) ** 0.5))))
+        raw = self.bias
+        if host or path:
+            ids, values = ngrams(host, path, self.sizes, len(self.weights))
+            raw += float(self.weights[ids] @ values)
+        return float(1 / (1 + np.exp(-raw)))
 
 
-def train(labelled: Iterable[tuple[str | None, int]] = LABELLED, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, epochs: int = 400, rate: float = 0.5, decay: float = 1e-4, prior: float = -0.5) -> Model:
-    """Gradient steps on the logistic loss of a small labelled table; rows are scaled to unit length. ``prior``: start and pull of the bias."""
+def train(labelled: Iterable[tuple[str | None, int]] = LABELLED, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, epochs: int = 500, rate: float = 0.5, decay: float = 1e-4, prior: float = -0.5) -> Model:
+    """Gradient steps on the logistic loss of a small labelled table. ``prior``: the fixed bias, the leaning without evidence."""
     pairs = [(split_url(u), y) for u, y in labelled]
     rows = [ngrams(*hp, sizes, buckets) for hp, _ in pairs]
+    w = np.zeros(buckets)
+    if not rows:
+        return Model(w, prior, tuple(sizes))
     y = np.array([v for _, v in pairs], float)
-    ids = np.concatenate([np.array(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = np.repeat([len(r) ** -0.5 for r in rows], [len(r) for r in rows])
-    w, b = np.zeros(buckets), prior
-    for _ in range(epochs if rows else 0):
-        raw = np.bincount(at, w[ids] * scale, len(rows)) + b
-        error = 1 / (1 + np.exp(-raw)) - y
-        w -= rate * (np.bincount(ids, error[at] * scale, buckets) + decay * w)
-        b -= rate * (error.mean() * 0.1 + decay * (b - prior))
-    return Model(w, b, tuple(sizes))
+    ids, values = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    for _ in range(epochs):
+        error = 1 / (1 + np.exp(-(np.bincount(at, w[ids] * values, len(rows)) + prior))) - y
+        w -= rate * (np.bincount(ids, error[at] * values, buckets) + decay * w)
+    return Model(w, prior, tuple(sizes))
 
 
 class Rules:
