@@ -1,0 +1,17 @@
+"""Places for what a query writes: in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:  # a single machine, as in tests
+        root = "file://" + tempfile.mkdtemp(prefix="engrama-")
+        context.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/engrama/{context.applicationId}/{what}-{uuid.uuid4().hex}"
