@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-Words score by the elements they stand in (tag names and the words of class, id and role attributes, weighed by logistic
-regression on labelled pages); tags score negative, by how much more often they stand outside content. One scan finds the contiguous
-region of the largest sum; what scores negative inside it (an advert, a form, comments) is left out.
+Words score by the elements they stand in: tag names, the words of class, id and role attributes, and whether their block is
+all links. Each such feature weighs as the log-odds of content among the words under it in labelled pages; one that speaks
+clearly against content (an advert's class) decides alone, else the sum does. Tags score negative, by how much more often they
+stand outside content. One scan finds the contiguous region of the largest sum; what scores negative inside it is left out.
 
 Blocks are what block-level tags bound; white space inside one becomes one space; blocks are joined by a newline.
 
@@ -18,7 +19,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,33 +49,39 @@ LABELLED = (
     "<body><div class=ads><p>Click here to win</p></div><div class=article>{{<p>Letters were once the only way to speak across the sea.</p><p>They took weeks, and some never came.</p><dl><dt>Post</dt><dd>carried by ship and rider</dd></dl>}}</div><div class=social><a>Follow</a></div><div id=reviews class=reviews><p>Five stars from me</p></div><div class=disclaimer><p>Views are the writer's own</p></div><div id=footer><p>Made by hand</p></div></body>",
     "<body><div id=page><div class=wrapper><div class=header><a>Site</a></div><div class=nav><a>Start</a> <a>Archive</a></div><div><div class=ad>Half price on all shoes</div><div>{{<h1>Wool</h1><div><p>Sheep give wool, and <a>spinners</a> turn it to <a>yarn</a>, as <a href=/x>the old books tell us</a>.</p></div><p>Then come the <i>needles</i>.</p><div>A row of knots holds the whole cloth together.</div>}}</div></div><div class=footer><a>Legal</a></div></div></div></body>",
     "<body><div class=container><div class=row><div class=top><a>Home</a></div>{{<p>The mill stands by the weir and <a>grinds</a> for three villages.</p><p>Its <a>wheel</a> is of oak.</p><div><div><p>In dry years it rests, and <a>the miller fishes</a>.</p></div></div>}}<div class=cookie><p>Cookies help us</p></div><div class=login><form><div><label>Name</label></div></form></div></div></div></body>",
+    "<body><div class=masthead><p>The Weekly Post</p></div><div class=navbar><a>News</a><a>Sport</a></div><div class=announcement><p>New opening hours from May</p></div><div class=advertisement><p>Shoes for every foot</p></div><div class=story><article class=post><header class=entry>{{<h1>Of bees</h1><p>A hive holds thousands, and one queen rules them.</p></header><section><p>They <em>dance</em> to tell the way to the <a>lime trees</a>.</p><ul><li><a>How they see</a> the sun</li><li>What honey is</li></ul></section>}}<div class=subscribe><p>Join our list today</p></div><ol class=commentlist><li class=comment><p>Lovely read</p></li><li class=reply><p>Indeed it was</p></li></ol><div class=discussion><p>Join the talk</p></div><div class=responses><p>Three answers so far</p></div></article></div><div class=modal><p>Stay a while</p></div><div class=consent><p>We value your choice</p></div><div class=alert><p>Old browser in use</p></div><div class=signup><p>Open an account</p></div><div class=copyright><p>All rights are kept</p></div><div class=pager><a>Next page</a></div><div class=toolbar><a>Print</a></div></body>",
     "<body>{{<h1>Salt</h1><p>Salt was once worth its weight in silver, <a>or so they say</a>.</p><div>It came over <a>the northern road</a>.</div><p>It keeps meat for a winter.</p>}}<div class=recommended><p>Read next</p></div><footer><div><p>Imprint and terms</p></div></footer></body>",
 )
 
 
+#: Elements that only build the page or mark words: no feature.
+PLAIN = frozenset("html body div span section b i em strong small u s sub sup font mark abbr cite code q time wbr br img a".split())
+LINKS = "l:links"
+
+
 @dataclass
 class Weights:
-    """``context``: weight of each feature of the elements around a word; ``tag``: the (negative) score of a tag."""
+    """``context``: log-odds of content by feature; ``veto``: a feature at or below it decides alone; ``tag``: the (negative) score of a tag."""
 
     bias: float
     context: dict[str, float]
     tag: dict[str, float]
     other_tag: float
+    veto: float = -1.2
+    against: float = -0.1  # score of a word that a veto speaks against: an advert inside an article does not cut it in two
 
-
-@dataclass
-class Piece:
-    kind: int  # 0: tag, 1: text
-    name: str
-    features: tuple[str, ...]
-    text: str
-    block: int
+    def of(self, features) -> float:
+        """Score of a word, from -1 to 1."""
+        found = [self.context.get(f, 0.0) for f in features]
+        if found and min(found) <= self.veto:
+            return self.against
+        return max(-1.0, min(1.0, self.bias + sum(found)))
 
 
 def _features(tag: str, attr: str, cache: dict[tuple[str, str], tuple[str, ...]]) -> tuple[str, ...]:
     key = (tag, attr)
     if key not in cache:
-        found = ["t:" + tag]
+        found = [] if tag in PLAIN else ["t:" + tag]
         if attr:
             for values in _NAMES.findall(attr):
                 found += ["c:" + p for p in _PARTS.findall("".join(values).lower())]
@@ -122,39 +128,61 @@ def scan(page: str, visit, cache: dict) -> None:
             stack.append([tag, _features(tag, m["attr"] or "", cache), None])
 
 
-def learn(pages=LABELLED, rounds: int = 2000, rate: float = 0.3, decay: float = 0.003) -> Weights:
-    """Weights from labelled pages."""
-    words: list[tuple[tuple[str, ...], int]] = []
+class _Page:
+    """Tags and texts of a page in order; each text with the features around it, each block with its share of link words."""
+
+    def __init__(self, page: str, cache: dict):
+        self.kinds: list[tuple[str, str, int, frozenset[str]]] = []  # tag, text, block, features
+        self.words: dict[int, list[int]] = {}  # of a block: all, in links
+        scan(page, self.visit, cache)
+
+    def visit(self, kind, name, stack, text, block):
+        if kind == 0:
+            self.kinds.append((name, "", block, frozenset()))
+            return
+        features = frozenset()
+        if stack:
+            if stack[-1][2] is None:  # outwards to the innermost element that is known
+                known = len(stack) - 1
+                while known and stack[known - 1][2] is None:
+                    known -= 1
+                for i in range(known, len(stack)):
+                    features, link = stack[i - 1][2] if i else (features, False)
+                    stack[i][2] = features.union(stack[i][1]) if stack[i][1] else features, link or stack[i][0] == "a"
+            features, link = stack[-1][2]
+            n = len(text.split())
+            counts = self.words.setdefault(block, [0, 0])
+            counts[0] += n
+            counts[1] += n * link
+        self.kinds.append(("", text, block, features))
+
+    def links_only(self, block: int) -> bool:
+        n, linked = self.words.get(block, (0, 0))
+        return n > 0 and linked >= 0.8 * n
+
+
+def learn(pages=LABELLED) -> Weights:
+    """Weights from labelled pages, by counting."""
+    under: dict[str, list[int]] = {}
     tags: dict[str, list[int]] = {}
+    words = [0, 0]
     for page in pages:
-        inside = [0]
-        cache: dict = {}
-
-        def visit(kind, name, stack, text, block, inside=inside):
-            if kind == 0:
-                tags.setdefault(name, [0, 0])[inside[0]] += 1
-                return
+        found, inside = _Page(page, {}), 0
+        for tag, text, block, features in found.kinds:
+            if tag:
+                tags.setdefault(tag, [0, 0])[inside] += 1
             for part in re.split(r"(\{\{|\}\})", text):
                 if part in ("{{", "}}"):
-                    inside[0] = int(part == "{{")
-                else:
-                    features = tuple({f for s in stack for f in s[1]})
-                    words.extend((features, inside[0]) for _ in part.split())
-
-        scan(page, visit, cache)
-    names = {f: i for i, f in enumerate(sorted({f for fs, _ in words for f in fs}))}
-    x = np.zeros((len(words), len(names)))
-    for i, (fs, _) in enumerate(words):
-        x[i, [names[f] for f in fs]] = 1
-    y = np.array([v for _, v in words], float)
-    w, b = np.zeros(len(names)), 0.5
-    for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= rate * (x.T @ error / len(y) * 10 + decay * w)
-        b -= rate * (error.mean() + decay * (b - 0.5))
+                    inside = int(part == "{{")
+                    continue
+                n = len(part.split())
+                words[inside] += n
+                for f in features | {LINKS} if found.links_only(block) else features:
+                    under.setdefault(f, [0, 0])[inside] += n
+    odds = lambda n: math.log((n[1] + 0.5) / (n[0] + 0.5))
     total = [sum(t[i] for t in tags.values()) for i in (0, 1)]
-    score = {t: min(-0.05, math.log((n[1] + 1) / (total[1] + 2)) - math.log((n[0] + 1) / (total[0] + 2))) for t, n in tags.items()}
-    return Weights(b, {f: float(w[i]) for f, i in names.items()}, {t: max(-1.5, s) for t, s in score.items()}, -0.2)
+    score = {t: math.log((n[1] + 1) / (total[1] + 2)) - math.log((n[0] + 1) / (total[0] + 2)) for t, n in tags.items()}
+    return Weights(odds(words), {f: odds(n) for f, n in under.items()}, {t: min(-0.05, max(-0.15, s)) for t, s in score.items()}, -0.1)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -171,37 +199,24 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights, cache: dict | None = None) -> str:
     """The main text of a page."""
-    pieces: list[tuple[str, int, float]] = []
+    found = _Page(page, {} if cache is None else cache)
+    known: dict[tuple[frozenset[str], bool], float] = {}
     scores: list[float] = []
-    tag_scores, other, context = weights.tag, weights.other_tag, weights.context
-
-    def visit(kind, name, stack, text, block):
-        if kind == 0:
-            pieces.append(("", block, 0.0))
-            scores.append(tag_scores.get(name, other))
-            return
-        state = weights.bias, frozenset()
-        if stack:
-            if stack[-1][2] is None:  # from the innermost element that is known, outwards in
-                known = len(stack) - 1
-                while known and stack[known - 1][2] is None:
-                    known -= 1
-                for i in range(known, len(stack)):
-                    total, seen = stack[i - 1][2] if i else state
-                    new = [f for f in stack[i][1] if f not in seen]
-                    if new:
-                        total, seen = total + sum(context.get(f, 0.0) for f in new), seen.union(new)
-                    stack[i][2] = total, seen
-            state = stack[-1][2]
-        weight = max(-1.0, min(1.0, state[0]))
-        pieces.append((text, block, weight))
-        scores.append(weight * len(text.split()))
-
-    scan(page, visit, {} if cache is None else cache)
+    signs: list[bool] = []
+    for tag, text, block, features in found.kinds:
+        if tag:
+            scores.append(weights.tag.get(tag, weights.other_tag))
+            signs.append(False)
+            continue
+        key = features, found.links_only(block)
+        if key not in known:
+            known[key] = weights.of(features | {LINKS} if key[1] else features)
+        scores.append(known[key] * len(text.split()))
+        signs.append(known[key] > 0)
     a, b = best_region(scores)
     blocks: list[tuple[int, list[str]]] = []
-    for text, block, weight in pieces[a:b]:
-        if text and weight > 0:
+    for (_, text, block, _), positive in zip(found.kinds[a:b], signs[a:b], strict=True):
+        if positive:
             if not blocks or blocks[-1][0] != block:
                 blocks.append((block, []))
             blocks[-1][1].append(text)

@@ -26,6 +26,7 @@ LABELLED: tuple[tuple[str, int], ...] = (
     ("http://free-spins.example.org/en/2", 1), ("https://betting-tips.example.com/odds", 1), ("http://malware-drop.example.net/setup.exe", 1), ("https://phish-login.example.org/account", 1), ("http://replica-watches.example.com/sale", 1),
     ("https://blog.casino-night.example.com/en/5", 1), ("http://blog.lucky-win.example.net/es/12", 1), ("https://www.free-gifts.example.org/fr/3", 1), ("https://blog.diet-pills.example.com/de/70", 1), ("http://www.link-spam.example.com/en/9#top", 1),
     ("https://thunder.example.net/en/14", 0), ("https://island.example.net/en/322#top", 0), ("http://hand.example.net/fr/7.html", 0), ("https://lantern.example.net/en/81/", 0), ("https://hill-walks.example.net/en/2", 0),
+    ("http://example.com/", 0), ("https://example.net/about", 0), ("https://www.example.org/", 0), ("https://example.org/de/index.html", 0),
     ("https://blog.garden.example.com/en/12", 0), ("http://www.history.example.org/en/345.html", 0), ("https://m.weather.example.net/de/7", 0), ("https://library.example.org/fr/90/", 0), ("http://news.example.com/en/2020/3", 0),
     ("https://docs.science.example.net/es/81?page=2&ref=x", 0), ("https://blog.cooking.example.org/fr/5#top", 0), ("http://www.museum.example.com/en/777/", 0), ("https://school.example.net/de/61.html", 0), ("http://m.river.example.org/en/10?utm_source=feed", 0),
     ("https://blog.station.example.net/en/230", 0), ("https://theatre.example.com/es/19", 0), ("http://www.nation.example.org/en/4", 0), ("https://mountain.example.com/de/55", 0), ("http://blog.other.example.net/fr/8.html", 0),
