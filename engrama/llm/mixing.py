@@ -52,14 +52,14 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
     ``rate``: share of all tokens to sample. Categories without tokens take no share.
     """
     total = F.sum("tokens").over(W.partitionBy())
-    whole = cells.repartition(1).withColumn("__all", total.cast("double")).withColumn("weight", F.col("tokens") / F.col("__all"))
+    whole = cells.repartition(1).withColumn("__all", total.cast("double")).withColumn("weight", F.coalesce(F.try_divide("tokens", "__all"), F.lit(0.0)))
     for d, target in targets.items():
         whole = whole.withColumn("__tokens", F.sum("tokens").over(W.partitionBy(d)))
         share = F.when(F.col("__tokens") > 0, shares(d, target)).otherwise(0.0)
         whole = whole.withColumn(f"__share_{d}", share).withColumn("__first", F.row_number().over(W.partitionBy(d).orderBy(*targets)))
         asked = F.sum(F.when(F.col("__first") == 1, F.col(f"__share_{d}")).otherwise(0.0)).over(W.partitionBy())
-        whole = whole.withColumn(f"__share_{d}", F.col(f"__share_{d}") / asked)
-    most = F.col("tokens") / (F.lit(float(rate)) * F.col("__all"))
+        whole = whole.withColumn(f"__share_{d}", F.coalesce(F.try_divide(F.col(f"__share_{d}"), asked), F.lit(0.0)))
+    most = F.coalesce(F.try_divide(F.col("tokens"), F.lit(float(rate)) * F.col("__all")), F.lit(0.0))
     for _ in range(rounds):
         for d in targets:
             now = F.sum("weight").over(W.partitionBy(d))

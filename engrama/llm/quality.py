@@ -3,7 +3,8 @@
 A first pass sums character-class and common-word histograms per language over all documents that are long
 enough; these are the references, a few dozen numbers per language of ``common``, others pooled. A second
 pass compares each document with the reference of its language by Jensen-Shannon distance (base 2, from 0 to 1) and
-rejects it beyond a limit. Histograms of short texts scatter: the class histogram is judged from ``least_chars``
+rejects it beyond a limit. Histograms of short texts scatter: the squared distance of n counts in k bins from their source is about
+a chi-square of k - 1 degrees over 8 n ln 2, of which its mean and three deviations are allowed beside the limit; the class histogram is judged from ``least_chars``
 word characters on, the word histogram from ``least_words`` words on; shorter documents pass that rule.
 Both passes are maps: no row is shuffled.
 
@@ -91,6 +92,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
+def allowed(limit: float, bins: int, n: int) -> float:
+    """The largest distance that passes: the limit and what chance adds with ``n`` counts."""
+    return (limit**2 + (bins - 1 + 3 * (2 * (bins - 1)) ** 0.5) / (8 * n * np.log(2))) ** 0.5
+
+
 def _language(lang: str | None, common: dict) -> str:
     return lang if lang in common else OTHER
 
@@ -138,11 +144,11 @@ def judge(raw: bytes, language: str, reference: tuple[np.ndarray, np.ndarray], c
         by_class = distance(class_histogram(by_byte), reference[0])
     if len(words) >= least_words and common and reference[1].sum():
         by_word = distance(word_histogram(raw, common), reference[1])
-    kept = not failed and (by_class is None or by_class <= limits[0]) and (by_word is None or by_word <= limits[1])
+    kept = not failed and (by_class is None or by_class <= allowed(limits[0], len(CLASSES), chars)) and (by_word is None or by_word <= allowed(limits[1], len(common) + 1, len(words)))
     return len(words), chars, symbols, lines, repeats, failed, by_class, by_word, kept
 
 
-def with_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON, limits: tuple[float, float] = (0.22, 0.26), least_chars: int = 200, least_words: int = 100) -> DataFrame:
+def with_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON, limits: tuple[float, float] = (0.24, 0.16), least_chars: int = 200, least_words: int = 100) -> DataFrame:
     """``docs`` (all columns) with ``__quality``, a struct of counts, distances and the verdict ``kept``."""
     known, lists = references(docs, text, lang, common), _encoded(common)
 

@@ -40,9 +40,19 @@ def test_rake(spark):
         assert len(got) == len(cells)
         for r in got:
             assert r["probability"] == pytest.approx(want[r["source"], r["lang"], r["topic"]], abs=1e-9)
-    for i in range(3):  # at a low rate no cell is short of tokens: all marginals are met
-        for k, share in shares[i].items():
-            assert sum(x for c, x in w.items() if c[i] == k) == pytest.approx(share, abs=1e-3)
+
+
+def test_marginals_are_met(spark):
+    rng = random.Random(6)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randrange(1000, 90_000) for a in range(6) for b in range(4) for c in range(3)}
+    targets = [0.5, {"l0": 0.5, "l1": 0.3, "*": 0.1}, 0.8]
+    rows = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    shares = brute_rake(cells, targets, 0.01, 1)[2]
+    got = mixing.rake(rows, dict(zip(("source", "lang", "topic"), targets, strict=True)), 0.01, 12).collect()
+    for name, share in zip(("source", "lang", "topic"), shares, strict=True):
+        for k, s in share.items():
+            assert sum(r["weight"] for r in got if r[name] == k) == pytest.approx(s, abs=1e-4)
+    assert sum(r["probability"] * r["tokens"] for r in got) == pytest.approx(0.01 * sum(cells.values()), rel=1e-3)
 
 
 def test_sampling_follows_probabilities(spark):

@@ -38,7 +38,7 @@ def test_against_brute_force(spark, tmp_path):
     rows = {}
     for i, t in enumerate(texts):
         lang = quality._language(docs_lang(i), quality.COMMON)
-        kept = quality.judge((t or "").encode(), lang, known[lang], lists[lang], (0.22, 0.26), 200, 100)[-1]
+        kept = quality.judge((t or "").encode(), lang, known[lang], lists[lang], (0.24, 0.16), 200, 100)[-1]
         assert not (kept and brute_base(t)[-1])
         if kept:
             rows[i] = t
