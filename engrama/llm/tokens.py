@@ -43,11 +43,11 @@ def _lowered(text: str) -> str:
 class WordCachedEncoder:
     """Encode texts to little-endian unsigned 32-bit ids.
 
-    ``max_entries`` bounds the cache of chunks and that of words: a full one is dropped and filled anew.
+    ``max_entries`` bounds the cache of chunks and words: when it would overflow it is dropped and filled anew.
     Chunks over ``longest`` characters are encoded but never cached.
     """
 
-    def __init__(self, path: str, max_entries: int = 800_000, longest: int = 64):
+    def __init__(self, path: str, max_entries: int = 1_200_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,8 +61,7 @@ class WordCachedEncoder:
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._max, self._longest = max_entries, longest
-        self._chunks: dict[str, bytes] = {"": b""}
-        self._words: dict[str, bytes] = {"": b""}
+        self._known: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def _splits_at_blanks(spec: dict) -> bool:
@@ -76,39 +75,44 @@ class WordCachedEncoder:
         apart = pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
         return bool(removed and plain and lowers and apart and spec["model"].get("end_of_word_suffix") and " " not in pattern and not spec.get("post_processor"))
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+    def _encode(self, words: list[str]) -> None:
         """Words of letters alone are one pre-token each: they go in one string, cut where a token ends a word."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha() and w.isascii()] + [w for w in words if not w.isascii() and w.isalpha() and w.lower().isalpha()]
+        known, rest = self._known, []
+        plain: list[str] = []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or w.lower().isalpha()) else rest).append(w)
         for at in range(0, len(plain), 1024):
             part = plain[at : at + 1024]
             ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (np.flatnonzero(self._ends[ids]) * 4 + 4).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                out.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        rest = [w for w in words if w not in out]
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            else:
+                rest += part
         for word, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return out
+            known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def _fill(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of unseen chunks: word and trailing marks apart where the split pattern cuts there anyway."""
-        cut: dict[str, tuple[str, str]] = {}
+    def _fill(self, chunks: set[str]) -> None:
+        """Make unseen chunks known: word and trailing marks apart where the split pattern cuts there anyway."""
+        known, whole, cut = self._known, [], []
+        parts: set[str] = set()
         for chunk in chunks:
-            word = chunk.rstrip(_MARKS)
-            cut[chunk] = (word, chunk[len(word) :]) if word and word[-1].isalnum() else (chunk, "")
-        needed = {x for pair in cut.values() for x in pair}
-        if len(self._words) + len(needed) > self._max:
-            self._words = {"": b""}
-        fresh = list(needed.difference(self._words))
-        self._words.update(self._encode(fresh))
-        get = self._words
-        out = {chunk: get[a] + get[b] for chunk, (a, b) in cut.items()}
-        for word in fresh:
-            if len(word) > self._longest:
-                del get[word]
-        return out
+            if not chunk[-1].isalnum() and (word := chunk.rstrip(_MARKS)) and word[-1].isalnum():
+                marks = chunk[len(word) :]
+                cut.append((chunk, word, marks))
+                if word not in known:
+                    parts.add(word)
+                if marks not in known:
+                    parts.add(marks)
+            else:
+                whole.append(chunk)
+        self._encode(list(parts.union(whole)))
+        for chunk, word, marks in cut:
+            known[chunk] = known[word] + known[marks]
+        for word in parts:
+            if len(word) > self._longest and word not in chunks:
+                del known[word]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object of ids per text; null counts as empty."""
@@ -125,18 +129,20 @@ class WordCachedEncoder:
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         chunks = " ".join(texts).split(" ")
-        found = list(map(self._chunks.get, chunks))
+        known = self._known
+        found = list(map(known.get, chunks))
         if None in found:
             unseen = [i for i, ids in enumerate(found) if ids is None]
-            fresh = self._fill({chunks[i] for i in unseen})
+            missing = {chunks[i] for i in unseen}
+            if len(known) + 2 * len(missing) > self._max:
+                known.clear()
+                known[""] = b""
+            self._fill(missing)
             for i in unseen:
-                found[i] = fresh[chunks[i]]
-            if len(self._chunks) + len(fresh) > self._max:
-                self._chunks = {"": b""}
-            self._chunks.update(fresh)
-            for chunk in fresh:
+                found[i] = known[chunks[i]]
+            for chunk in missing:
                 if len(chunk) > self._longest:
-                    del self._chunks[chunk]
+                    del known[chunk]
         out, at = [], 0
         for text in texts:
             n = text.count(" ") + 1
@@ -148,7 +154,7 @@ class WordCachedEncoder:
 _ENCODERS: dict[tuple, WordCachedEncoder] = {}
 
 
-def encoder(path: str, max_entries: int = 800_000) -> WordCachedEncoder:
+def encoder(path: str, max_entries: int = 1_200_000) -> WordCachedEncoder:
     """The encoder of this Python worker; its cache lives as long as the worker."""
     key = (path, max_entries)
     if key not in _ENCODERS:
