@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, shuffle_partitions, text_or_empty
@@ -109,16 +110,18 @@ class Reader:
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """Ids [a, b)."""
-        out = np.zeros(b - a, "<u4")
-        where = np.arange(b - a)
+        out = self.levels[0][0][a:b].astype("<u4")
+        where = None
         for level, (chunks, bits, directory) in enumerate(self.levels):
-            out[where] |= chunks[a:b].astype("<u4") << np.uint32(level * self.width)
+            if level:
+                out[where] |= chunks[a:b].astype("<u4") << np.uint32(level * self.width)
             if not len(bits) or a == b:
                 break
-            flags = np.unpackbits(bits[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            where = where[flags]
+            flags = np.unpackbits(bits[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a]
+            going = np.flatnonzero(flags)
+            where = going if where is None else where[going]
             a = self._rank(bits, directory, a)
-            b = a + len(where)
+            b = a + len(going)
         return out
 
     def document(self, i: int) -> np.ndarray:
@@ -183,13 +186,13 @@ def write(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: s
 
 def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per stored document, from the files: key, start (ids of all documents before it), n_tokens, ids (little-endian bytes)."""
-    spark = manifest.sparkSession
-    total, begin = 0, []
-    # one row per file, as many as there were writing tasks or a few times that
-    for r in manifest.select("part", "number", "file", "n_ids", "folder").orderBy("part", "number").collect():
-        begin.append((f"{r['folder']}/{r['file']}", total))
-        total += r["n_ids"]
-    files = spark.createDataFrame(begin, "file string, begin bigint").repartition(max(1, len(begin)), "file")
+    # one row per writing task stands in the one window without partitions; files are numbered within their task
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
+    parts = parts.withColumn("before", F.sum("in_part").over(W.orderBy("part")) - F.col("in_part"))
+    inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("number")) - F.col("n_ids")
+    files = manifest.withColumn("inside", inside).join(parts, "part")
+    files = files.select(F.concat_ws("/", "folder", "file").alias("file"), (F.col("before") + F.col("inside")).alias("begin"), "part", "number")
+    files = files.repartitionByRange(shuffle_partitions(manifest.sparkSession), "part", "number").select("file", "begin")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
