@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import SQ8_FROM_DIM
 
 #: Upper edges of the latency histogram, in seconds.
-EDGES = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
+EDGES = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0)
 
 
 def stats(live: DataFrame, tail_ops: Column | int = 0) -> DataFrame:

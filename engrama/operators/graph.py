@@ -14,10 +14,13 @@ def mentions(records: DataFrame, key: str = "id") -> DataFrame:
     return records.select(key, F.explode("entities").alias("entity"))
 
 
-def edges(records: DataFrame) -> DataFrame:
-    """(src, dst, cnt), both directions. Pairs are made inside a record's own array: nothing is joined."""
+def edges(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, cnt), both directions, or only from ``sources`` (src). Pairs are made inside a record's own array: nothing is joined."""
     pairs = F.flatten(F.transform("entities", lambda a: F.transform(F.filter("entities", lambda b: b != a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    return records.select(F.inline(pairs)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
+    found = records.select(F.inline(pairs))
+    if sources is not None:
+        found = found.join(sources, "src", "left_semi")  # before anything is counted or shuffled
+    return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def rarity(df: Column) -> Column:
@@ -32,7 +35,7 @@ def hops(query_entities: DataFrame, records: DataFrame) -> DataFrame:
     """(qid, entity, weight, hop) of query entities (qid, entity) and their most frequent neighbours."""
     df = mentions(records).groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
     direct = query_entities.distinct().join(df, "entity").select("qid", "entity", rarity(F.col("df")).alias("weight"), F.lit(0).alias("hop"))
-    around = edges(records).join(query_entities.select(F.col("entity").alias("src")).distinct(), "src")
+    around = edges(records, query_entities.select(F.col("entity").alias("src")).distinct())
     best = around.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy(F.desc("cnt"), "dst"))).filter(F.col("n") <= HOP_NEIGHBOURS)
     near = query_entities.distinct().withColumnRenamed("entity", "src").join(best, "src").join(df.withColumnRenamed("entity", "dst"), "dst")
     return direct.unionByName(near.select("qid", F.col("dst").alias("entity"), (HOP_WEIGHT * rarity(F.col("df")) * F.log(1.0 + F.col("cnt"))).alias("weight"), F.lit(1).alias("hop")))

@@ -2,7 +2,7 @@
 
 ``knn`` is exact: the stated queries, in blocks of ``block``, are multiplied with each Arrow batch of the corpus, each batch
 gives at most k rows a query, and one window ranks these. The corpus is scanned once a block and never shuffled; what is
-shuffled is k rows per query and batch. ``knn_ann`` scans only the partitions of the nearest centroids.
+shuffled is k rows per query and batch. ``cells`` has the index that scans only the cells of the nearest centroids.
 """
 
 from __future__ import annotations
@@ -42,6 +42,21 @@ def eligible(request: dict, pdf: pd.DataFrame, now: int | None) -> np.ndarray:
     return ok
 
 
+def constraints_of(request: dict) -> tuple:
+    return tuple(tuple(v) if isinstance(v, list) else v for v in map(request.get, CONSTRAINTS))
+
+
+def best_rows(scores: np.ndarray, place: np.ndarray, k: int, usable: np.ndarray | None = None) -> np.ndarray:
+    """The k rows of the largest scores (to 9 digits), equal ones in the order of ``place``; of ``usable`` rows only."""
+    values = np.round(scores if usable is None else scores[usable], 9)
+    near = np.arange(len(values))
+    if len(values) > 4 * k:
+        least = np.partition(values, len(values) - k)[len(values) - k]
+        near = np.flatnonzero(values >= least)
+    rows = near if usable is None else usable[near]
+    return rows[np.lexsort((place[rows], -values[near]))[:k]]
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector: str = "embedding", now: int | None = None, filtered: bool = False, block: int = 4096) -> DataFrame:
     """(qid, id, score, rank): inner products, largest first. ``queries``: qid, query_embedding and, if ``filtered``, constraints.
 
@@ -72,13 +87,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
                     matrix = np.vstack(some[vector].to_numpy()).astype(float)
                     scores = matrix @ np.array([requests[i]["query_embedding"] for i in which], float).T
                     ids = some[key].to_numpy()
-                    order = np.argsort(ids, kind="stable")
+                    place = np.empty(len(ids), int)
+                    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                    masks: dict[tuple, np.ndarray] = {}  # requests of equal constraints share one
                     for j, i in enumerate(which):
-                        of = scores[:, j]
-                        usable = order[eligible(requests[i], some, now)[order]] if filtered or now is not None else order
-                        best = usable[np.argsort(-np.round(of[usable], 9), kind="stable")[:k]]
+                        usable = None
+                        if filtered or now is not None:
+                            same = constraints_of(requests[i])
+                            if same not in masks:
+                                masks[same] = np.flatnonzero(eligible(requests[i], some, now))
+                            usable = masks[same]
+                        best = best_rows(scores[:, j], place, k, usable)
                         if len(best):
-                            yield pd.DataFrame({"qid": requests[i]["qid"], key: ids[best], "score": of[best]})
+                            yield pd.DataFrame({"qid": requests[i]["qid"], key: ids[best], "score": scores[best, j]})
 
         return corpus.select(*columns).mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 
@@ -112,20 +133,3 @@ def assign(corpus: DataFrame, centers: np.ndarray, vector: str = "embedding") ->
         return pd.Series((np.vstack(v.to_numpy()).astype(float) @ centers.T).argmax(axis=1).astype("int32")) if len(v) else pd.Series([], dtype="int32")
 
     return corpus.withColumn("cell", nearest(F.col(vector)))
-
-
-def knn_ann(queries: DataFrame, indexed: DataFrame, centers: np.ndarray, k: int, n_probe: int = 4, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Neighbours within the ``n_probe`` nearest cells of each query: a join on the cell, scored by Arrow batches."""
-
-    @F.pandas_udf("array<int>")
-    def probes(v: pd.Series) -> pd.Series:
-        order = np.argsort(-(np.vstack(v.to_numpy()).astype(float) @ centers.T), axis=1)[:, :n_probe]
-        return pd.Series(list(order.astype("int32")))
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.einsum("ij,ij->i", np.vstack(a.to_numpy()).astype(float), np.vstack(b.to_numpy()).astype(float)) if len(a) else [], dtype="float64")
-
-    probing = queries.select("qid", "query_embedding", F.explode(probes("query_embedding")).alias("cell"))
-    found = indexed.join(probing, "cell").select("qid", key, score("query_embedding", vector).alias("score"))
-    return top_k(found, "score", k, key=key)

@@ -6,7 +6,7 @@ before they are counted, so a search shuffles the postings of its terms alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -44,8 +44,11 @@ def bm25(requests: DataFrame, corpus: DataFrame, key: str = "id", text: str = "t
     tokenised = corpus.select(key, tokenize(F.col(text)).alias("tokens"))
     hits = tokenised.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term")
     posted = hits.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _score(posted, corpus_stats(corpus, text), terms, key, keep)
+
+
+def _score(posted: DataFrame, stats: DataFrame, terms: DataFrame, key: str, keep) -> DataFrame:
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(corpus, text)
     # one row of two numbers beside each term
     weighed = df.join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("term", "idf", "avgdl")
     scored = posted.join(weighed, "term").join(terms, "term")
@@ -55,5 +58,31 @@ def bm25(requests: DataFrame, corpus: DataFrame, key: str = "id", text: str = "t
     return scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
 
 
+def write_index(corpus: DataFrame, path: str, buckets: int = 256, key: str = "id", text: str = "text") -> None:
+    """Postings with their documents' lengths, partitioned by a hash of the term and sorted by it, and the corpus statistics.
+
+    A search reads the folders of its terms' hashes, and of these the row groups that can hold the term.
+    """
+    tokenised = corpus.select(key, tokenize(F.col(text)).alias("tokens"))
+    posted = tokenised.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # a term in a third of all documents is one key: its postings are dealt out by document too
+    dealt = posted.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_stats(corpus, text).write.parquet(f"{path}/stats")
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def bm25_indexed(requests: DataFrame, path: str, buckets: int = 256, key: str = "id", keep=None) -> DataFrame:
+    """``bm25`` from what ``write_index`` wrote. The join on bucket and term prunes partitions by the queries' terms."""
+    spark = requests.sparkSession
+    terms = query_terms(requests)
+    wanted = terms.select("term", bucket(F.col("term"), buckets).alias("bucket")).distinct()
+    posted = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"])
+    return _score(posted, spark.read.parquet(f"{path}/stats"), terms, key, keep)
+
+
 def bm25_topk(requests: DataFrame, corpus: DataFrame, k: int, key: str = "id", text: str = "text", keep=None) -> DataFrame:
     return top_k(bm25(requests, corpus, key, text, keep), "score", k, key=key)

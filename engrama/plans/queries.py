@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.embedding import hash_embed
 from ..functions.entities import STOPWORDS, extract_entities
-from ..operators import aggregates, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
+from ..operators import aggregates, cells, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
 from ..operators.ranking import fuse, recency, top_k
 from ..plugins import keyword_reranker
 from ..schema import DEDUP_COSINE, MEMORIES_SQL, NOW_MS, STRATEGIES, fixture_memories
@@ -264,11 +264,22 @@ def nearest_similarity(s, d):
     return records.nearest(probes(s, d), e).select("qid", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def _by_cells(s, d, mode: str) -> DataFrame:
+    from .scratch import scratch
+
+    path = scratch(s, "cells")
+    cells.write_index(table(s, d, "embeddings"), path, 16, mode, key="vec_id")
+    return _hits(cells.search(probes(s, d), path, 10, n_probe=8, key="vec_id"))
+
+
 @query()
 def knn_ann(s, d):
-    e = table(s, d, "embeddings")
-    centers = knn.centroids(e, 16)
-    return _hits(knn.knn_ann(probes(s, d), knn.assign(e, centers), centers, 10, n_probe=8, key="vec_id"))
+    return _by_cells(s, d, "never")
+
+
+@query()
+def knn_ann_sq8(s, d):
+    return _by_cells(s, d, "always")
 
 
 SQ8 = """sq AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_min(embedding::DOUBLE[]) AS lo, greatest((list_max(embedding::DOUBLE[]) - list_min(embedding::DOUBLE[])) / 255.0, 1.1754943508222875e-38) AS delta FROM embeddings),
@@ -349,8 +360,8 @@ def corpus_stats(s, d):
 
 def bm25_ctes(corpus: str = "documents", key: str = "doc_id", where: str = "true", scored: str = "true", tag: str = "") -> str:
     """CTE ``bm25<tag>`` (qid, key, s): statistics over ``where``, scores for ``scored``."""
-    return f"""c{tag} AS (SELECT * FROM {corpus} WHERE {where}), t{tag} AS (SELECT {key}, {TOK.format('text')} AS t FROM c{tag}),
-p{tag} AS (SELECT {key}, term, len(any_value(t)) AS dl, count(*) AS tf FROM (SELECT {key}, t, unnest(t) AS term FROM t{tag}) GROUP BY {key}, term),
+    return f"""c{tag} AS (SELECT * FROM {corpus} WHERE {where}), t{tag} AS MATERIALIZED (SELECT {key}, {TOK.format('text')} AS t FROM c{tag}),
+p{tag} AS (SELECT {key}, term, dl, tf FROM (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(t) AS term FROM t{tag}) GROUP BY {key}, term) JOIN (SELECT {key}, len(t) AS dl FROM t{tag}) USING ({key})),
 df{tag} AS (SELECT term, count(*) AS df FROM p{tag} GROUP BY term), st{tag} AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t{tag}),
 qt{tag} AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({TOK.format('query')}) AS term FROM req) GROUP BY ALL),
 bm25{tag} AS (SELECT qid, {key}, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
@@ -378,6 +389,16 @@ def bm25_after_forget(s, d):
     return _hits(lexical.bm25_topk(bench(s, d), table(s, d, "documents").filter("source <> 'src3'"), 10, "doc_id"), "doc_id")
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_indexed(s, d):
+    """From an index written first."""
+    from .scratch import scratch
+
+    path = scratch(s, "postings")
+    lexical.write_index(table(s, d, "documents"), path, 16, "doc_id")
+    return _hits(top_k(lexical.bm25_indexed(bench(s, d), path, 16, "doc_id"), "score", 10, key="doc_id"), "doc_id")
+
+
 # ---------------------------------------------------------------- entities and graph
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)

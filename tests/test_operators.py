@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from engrama.operators import aggregates, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
+from engrama.operators import aggregates, cells, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
 from engrama.operators.ranking import fuse, recency
 from engrama.schema import MEMORY, NOW_MS
 
@@ -40,16 +40,28 @@ def test_knn_equals_brute_force(spark):
         assert got[98] == ["odd"] and 99 not in got
 
 
-def test_ann_recall(spark):
+def test_ann_recall(spark, tmp_path):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(20, 32))
     v = centers[rng.integers(0, 20, 1500)] + 0.15 * rng.normal(size=(1500, 32))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     corpus = spark.createDataFrame(pd.DataFrame({"id": range(1500), "embedding": v.tolist()}))
     asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 1500, 50)], "qid long, query_embedding array<double>")
-    found = knn.centroids(corpus, 20)
-    ann = knn.knn_ann(asked, knn.assign(corpus, found), found, 10, n_probe=4)
-    assert aggregates.recall_at_k(ann, knn.knn(asked, corpus, 10)).first()["recall"] > 0.9
+    for mode, least in (("never", 0.9), ("always", 0.85)):
+        cells.write_index(corpus, f"{tmp_path}/{mode}", 20, mode)
+        ann = cells.search(asked, f"{tmp_path}/{mode}", 10, n_probe=4)
+        assert aggregates.recall_at_k(ann, knn.knn(asked, corpus, 10)).first()["recall"] > least
+    assert cells.quantizes("auto", 1024) and not cells.quantizes("auto", 384) and not cells.quantizes("never", 2048)
+    assert cells.search(asked.limit(0), f"{tmp_path}/never", 10).collect() == []
+
+
+def test_term_index_gives_the_same(spark, tmp_path):
+    rng = random.Random(8)
+    corpus = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 30)))) for i in range(80)], "id string, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2 w59"), (2, "none"), (3, "w7")], "qid long, query string")
+    lexical.write_index(corpus, str(tmp_path), 8)
+    rows = lambda df: {(r["qid"], r["id"]): round(r["score"], 9) for r in df.collect()}
+    assert rows(lexical.bm25_indexed(asked, str(tmp_path), 8)) == rows(lexical.bm25(asked, corpus))
 
 
 def test_bm25_statistics_are_global(spark):
@@ -170,7 +182,7 @@ def test_greedy_distinct(spark):
 def test_histogram(spark):
     rows = spark.createDataFrame([("r", 0.0004), ("r", 0.03)], "route string, s double")
     h = {r["le"]: (r["cnt"], r["total"], r["sum_seconds"]) for r in aggregates.latency_histogram(rows, F.col("s"), "route").collect()}
-    assert h["0.0005"][0] == 1 and h["+Inf"] == (2, 2, pytest.approx(0.0304)) and h["2.5"][0] == 2
+    assert h["0.0005"][0] == 1 and h["+Inf"] == (2, 2, pytest.approx(0.0304)) and h["5.0"][0] == 2
 
 
 def test_recency_constant():
