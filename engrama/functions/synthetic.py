@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +11,6 @@ from pyspark.sql import types as T
 
 def vectors(spark: SparkSession, n: int, dim: int, clustered: bool = True, noise: float = 0.15, seed: int = 42, first: int = 0, parts: int | None = None) -> DataFrame:
     """(id, embedding) of ``n`` unit vectors; a row depends on its id and the seed alone. There are n/100 centres, 10 at least."""
-    import pandas as pd
-
     k = max(10, n // 100)
     centers = np.random.default_rng(seed).uniform(-1, 1, (k, dim)) if clustered else None
 

@@ -1,19 +1,22 @@
 """An index of vectors by cells: written once, partitioned by the nearest of k-means centroids, optionally as 8-bit codes.
 
-A search reads the folders of its queries' ``n_probe`` nearest cells (partition pruning by the join) and scores them in Arrow batches.
+A search reads the folders of its queries' ``n_probe`` nearest cells and scores them in Arrow batches.
 Vectors of another length than the index's are left out, as they are of exact search.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import sq8_encode
+from ..functions.vectors import LEAST_STEP
 from ..schema import SQ8_FROM_DIM
-from .knn import assign, centroids
+from .knn import assign, best_rows, centroids
 from .ranking import top_k
 
 MODES = ("auto", "always", "never")
@@ -26,6 +29,16 @@ def quantizes(mode: str, dim: int) -> bool:
     return mode == "always" or mode == "auto" and dim >= SQ8_FROM_DIM
 
 
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("delta", T.DoubleType()), T.StructField("codes", T.BinaryType())]))
+def _encode(v: pd.Series) -> pd.DataFrame:
+    """8-bit codes as in ``sq8_encode``, packed."""
+    m = np.vstack(v.to_numpy()).astype(float)
+    low = m.min(axis=1)
+    delta = np.maximum((m.max(axis=1) - low) / 255.0, LEAST_STEP)
+    codes = np.clip(np.floor((m - low[:, None]) / delta[:, None] + 0.5), 0, 255).astype(np.uint8)
+    return pd.DataFrame({"low": low, "delta": delta, "codes": [c.tobytes() for c in codes]})
+
+
 def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto", key: str = "id", vector: str = "embedding", seed: int = 1) -> None:
     """``cells``: a bounded number of centroids, learned from 64 rows each."""
     spark = corpus.sparkSession
@@ -37,9 +50,8 @@ def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
     placed = assign(fitting, centers, vector)
     if quantizes(mode, dim):
-        q = sq8_encode(F.col(vector))
-        codes = F.unhex(F.array_join(F.transform(q["codes"], lambda c: F.lpad(F.hex(c), 2, "0")), ""))
-        placed = placed.select(key, "cell", q["min"].alias("low"), q["delta"].alias("delta"), codes.alias("codes"))
+        q = _encode(F.col(vector))
+        placed = placed.withColumn("q", q).select(key, "cell", "q.low", "q.delta", "q.codes")
     else:
         placed = placed.select(key, "cell", F.col(vector).cast("array<float>").alias("exact"))
     # a crowded cell is dealt out by key too
@@ -47,30 +59,55 @@ def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto
     dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
 
 
-def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "id") -> DataFrame:
-    """(qid, id, score, rank) within the nearest cells of each query (qid, query_embedding)."""
+def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "id", block: int = 4096) -> DataFrame:
+    """(qid, id, score, rank) within the nearest cells of each query (qid, query_embedding).
+
+    Queries are a stated set, taken in blocks of ``block``. Only folders of cells that a block probes are read; each Arrow batch is
+    multiplied with the queries that probe its cells, and gives at most k rows a query.
+    """
     spark = queries.sparkSession
     rows = spark.read.parquet(f"{path}/centers").orderBy("cell").collect()  # as many as cells
     centers = np.array([r["center"] for r in rows])
     dim = centers.shape[1] if len(rows) else 0
     stored = spark.read.parquet(f"{path}/vectors")
+    coded = "codes" in stored.columns
+    kind = stored.schema[key].dataType.simpleString()
+    out = None
+
+    def scan(part: list) -> DataFrame:
+        matrix = np.array([r["query_embedding"] for r in part], float).reshape(len(part), dim)
+        probes = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :n_probe]
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in part]), matrix, {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, asked, probing = shared.value
+            for pdf in batches:
+                for cell, some in pdf.groupby("cell"):
+                    which = probing[int(cell)]
+                    q = asked[which]
+                    if coded:
+                        c = np.frombuffer(b"".join(some["codes"]), np.uint8).reshape(len(some), dim).astype(float)
+                        scores = some["low"].to_numpy()[:, None] * q.sum(axis=1)[None, :] + some["delta"].to_numpy()[:, None] * (c @ q.T)
+                    else:
+                        scores = np.vstack(some["exact"].to_numpy()).astype(float) @ q.T
+                    ids = some[key].to_numpy()
+                    place = np.empty(len(ids), int)
+                    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                    best = [best_rows(scores[:, j], place, k) for j in range(len(which))]
+                    sizes = [len(b) for b in best]
+                    if sum(sizes):
+                        at = np.concatenate(best)
+                        yield pd.DataFrame({"qid": np.repeat(qids[which], sizes), key: ids[at], "score": scores[at, np.repeat(np.arange(len(which)), sizes)]})
+
+        read = stored.filter(F.col("cell").isin(*map(int, np.unique(probes)))) if len(part) else stored.limit(0)
+        return read.mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 
-    @F.pandas_udf("array<int>")
-    def probes(v: pd.Series) -> pd.Series:
-        order = np.argsort(-(np.vstack(v.to_numpy()).astype(float) @ centers.T), axis=1)[:, :n_probe]
-        return pd.Series(list(order.astype("int32")))
-
-    @F.pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.einsum("ij,ij->i", np.vstack(a.to_numpy()).astype(float), np.vstack(b.to_numpy()).astype(float)))
-
-    @F.pandas_udf("double")
-    def coded(a: pd.Series, low: pd.Series, delta: pd.Series, codes: pd.Series) -> pd.Series:
-        q = np.vstack(a.to_numpy()).astype(float)
-        c = np.frombuffer(b"".join(codes), np.uint8).reshape(len(a), -1)
-        return pd.Series(low.to_numpy() * q.sum(axis=1) + delta.to_numpy() * np.einsum("ij,ij->i", q, c.astype(float)))
-
-    asked = queries.filter(F.size("query_embedding") == dim)
-    found = stored.join(asked.select("qid", "query_embedding", F.explode(probes("query_embedding")).alias("cell")), "cell")
-    score = coded("query_embedding", "low", "delta", "codes") if "codes" in stored.columns else exact("query_embedding", "exact")
-    return top_k(found.select("qid", key, score.alias("score")), "score", k, key=key)
+    part: list = []
+    for r in queries.filter(F.size("query_embedding") == dim).select("qid", "query_embedding").toLocalIterator():
+        part.append(r)
+        if len(part) == block:
+            out = scan(part) if out is None else out.unionByName(scan(part))
+            part = []
+    if part or out is None:
+        out = scan(part) if out is None else out.unionByName(scan(part))
+    return top_k(out, "score", k, key=key)

@@ -76,6 +76,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             requests = shared.value
             dims = np.array([len(r["query_embedding"]) for r in requests])
+            qids = np.array([r["qid"] for r in requests])
             for pdf in batches:
                 pdf = pdf[pdf[vector].notna()].reset_index(drop=True)
                 sizes = pdf[vector].map(len).to_numpy() if len(pdf) else np.zeros(0, int)
@@ -90,6 +91,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
                     place = np.empty(len(ids), int)
                     place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
                     masks: dict[tuple, np.ndarray] = {}  # requests of equal constraints share one
+                    best = []
                     for j, i in enumerate(which):
                         usable = None
                         if filtered or now is not None:
@@ -97,9 +99,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
                             if same not in masks:
                                 masks[same] = np.flatnonzero(eligible(requests[i], some, now))
                             usable = masks[same]
-                        best = best_rows(scores[:, j], place, k, usable)
-                        if len(best):
-                            yield pd.DataFrame({"qid": requests[i]["qid"], key: ids[best], "score": scores[best, j]})
+                        best.append(best_rows(scores[:, j], place, k, usable))
+                    counts = [len(b) for b in best]
+                    if sum(counts):
+                        at = np.concatenate(best)
+                        yield pd.DataFrame({"qid": np.repeat(qids[which], counts), key: ids[at], "score": scores[at, np.repeat(np.arange(len(which)), counts)]})
 
         return corpus.select(*columns).mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 

@@ -38,7 +38,7 @@ def query_terms(requests: DataFrame) -> DataFrame:
 
 
 def bm25(requests: DataFrame, corpus: DataFrame, key: str = "id", text: str = "text", keep=None) -> DataFrame:
-    """(qid, id, score) of all rows that share a term with a query. ``keep``: function of the scored rows joined to come, applied after statistics."""
+    """(qid, id, score) of all rows that share a term with a query. ``keep`` filters scored rows: statistics stay global."""
     terms = query_terms(requests)
     wanted = terms.select("term").distinct()
     tokenised = corpus.select(key, tokenize(F.col(text)).alias("tokens"))
@@ -52,10 +52,9 @@ def _score(posted: DataFrame, stats: DataFrame, terms: DataFrame, key: str, keep
     # one row of two numbers beside each term
     weighed = df.join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("term", "idf", "avgdl")
     scored = posted.join(weighed, "term").join(terms, "term")
-    if keep is not None:
-        scored = keep(scored)
     part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
+    found = scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
+    return found if keep is None else keep(found)  # after the sums: a row per request and record instead of one per term
 
 
 def write_index(corpus: DataFrame, path: str, buckets: int = 256, key: str = "id", text: str = "text") -> None:

@@ -518,7 +518,15 @@ def chunk_text(s, d):
 
 
 def searchable(s, d) -> DataFrame:
-    return with_entities(s, d).withColumn("embedding", hash_embed(F.col("text")))
+    """Memories with entities and vectors, derived once and stored, as on ingest: the legs read columns, not texts."""
+    from .scratch import scratch
+
+    path = scratch(s, "memories")
+    # the fixture is one small file: dealt out, so that all cores embed
+    dealt = mem(s, d).repartition(s.sparkContext.defaultParallelism, "id")
+    derived = dealt.withColumn("entities", extract_entities(F.col("text"), F.col("tags"))).withColumn("embedding", hash_embed(F.col("text")))
+    derived.write.parquet(path)
+    return s.read.schema(derived.schema).parquet(path)
 
 
 def requests(s, d, strategy: str = "balanced", **extra) -> DataFrame:
