@@ -78,8 +78,8 @@ class Engine:
         rows = [tuple(float(r[n]) if n == "importance" and r.get(n) is not None else r.get(n) for n in names) for r in requests]
         return self.spark.createDataFrame(rows, schema)
 
-    def remember_batch(self, requests: DataFrame | Sequence[dict]) -> DataFrame:
-        """All or nothing; returns the new records."""
+    def remember_batch(self, requests: DataFrame | Sequence[dict], **marks) -> DataFrame:
+        """All or nothing; returns the new records. ``marks`` go into the manifest with the batch's commit."""
         asked = records.complete(self._requests(requests))
         if asked.filter(F.col("embedding").isNotNull()).limit(1).count():
             checked = records.validated(asked, self._dim())
@@ -93,7 +93,7 @@ class Engine:
         numbered = asked.withColumn("__copy", F.row_number().over(W.partitionBy("text", "kind", "created_at", "session_id", "agent_id").orderBy(F.lit(1))))
         numbered = numbered.withColumn("__seq", F.concat_ws(":", F.lit(str(first)), "__copy")).drop("__copy")
         built = records.build(numbered, self.now(), self.namespace, self.config.working_ttl_s, self.plugins.embed).drop("__seq")
-        self.store.append(oplog.remember_ops(built, first))
+        self.store.append(oplog.remember_ops(built, first), **marks)
         return self.store.tail().filter(F.col("seq") == first).select("record.*")
 
     def remember(self, **request) -> dict:

@@ -43,6 +43,6 @@ def embed(text: str | None, dim: int = DIM) -> np.ndarray:
 def hash_embed(text: Column, dim: int = DIM) -> Column:
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([embed(t, dim) for t in texts])
+        return pd.Series([None if t is None else embed(t, dim) for t in texts])
 
     return run(text)

@@ -20,11 +20,10 @@ OPLOG = T.StructType([
 ])
 
 
-def remember_ops(records: DataFrame, first_seq: int, order: str = "id") -> DataFrame:
-    """Ops for records that have all columns of ``MEMORY``; seq goes by a hash-free order: the records' own ``__seq`` if present, else one per call."""
-    seq = F.col("__seq") if "__seq" in records.columns else F.lit(first_seq).cast("long")
+def remember_ops(records: DataFrame, seq: int) -> DataFrame:
+    """Ops for records that have all columns of ``MEMORY``; a batch shares one seq."""
     record = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY])
-    return records.select(seq.alias("seq"), F.lit("remember").alias("op"), "id", record.alias("record"), F.lit(None).cast("array<string>").alias("sources"))
+    return records.select(F.lit(seq).cast("long").alias("seq"), F.lit("remember").alias("op"), "id", record.alias("record"), F.lit(None).cast("array<string>").alias("sources"))
 
 
 def forget_ops(ids: DataFrame, seq: int) -> DataFrame:

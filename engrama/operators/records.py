@@ -46,7 +46,8 @@ def build(requests: DataFrame, now: int, namespace: str = "default", working_ttl
     ttl = F.coalesce("ttl_seconds", F.when(kind == "working", F.lit(working_ttl).cast("bigint")))
     seq = F.col("__seq").cast("string") if "__seq" in r.columns else F.lit("")
     identity = F.concat_ws("\x1f", F.lit(namespace), seq, kind, F.coalesce("text", F.lit("")), created.cast("string"), F.coalesce("session_id", F.lit("")), F.coalesce("agent_id", F.lit("")))
-    vector = F.coalesce(normalize(F.col("embedding")), (embed or hash_embed)(F.col("text")))
+    # texts that come with a vector are not embedded
+    vector = F.coalesce(normalize(F.col("embedding")), (embed or hash_embed)(F.when(F.col("embedding").isNull(), F.col("text"))))
     none = F.array().cast("array<string>")
     tags = F.coalesce("tags", none)
     columns = {

@@ -15,7 +15,7 @@ from ..functions.entities import STOPWORDS, extract_entities
 from ..operators import aggregates, cells, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
 from ..operators.ranking import fuse, recency, top_k
 from ..plugins import keyword_reranker
-from ..schema import DEDUP_COSINE, MEMORIES_SQL, NOW_MS, STRATEGIES, fixture_memories
+from ..schema import MEMORIES_SQL, NOW_MS, STRATEGIES, fixture_memories
 from . import recall as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

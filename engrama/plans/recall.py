@@ -35,7 +35,7 @@ def complete(requests: DataFrame, embedder: Callable[[Column], Column] | None =
     return requests.withColumns({
         "strategy": F.coalesce("strategy", F.lit("balanced")),
         "top_k": F.coalesce("top_k", F.lit(TOP_K)),
-        "query_embedding": F.coalesce("query_embedding", embed(F.col("query"))),
+        "query_embedding": F.coalesce("query_embedding", embed(F.when(F.col("query_embedding").isNull(), F.coalesce("query", F.lit(""))))),
     })
 
 

@@ -33,14 +33,17 @@ class Extractor(Protocol):
 
 
 def embedding_column(embedder: Embedder, prefix: str = "", batch: int = 64) -> Callable[[Column], Column]:
-    """An Arrow UDF over a batch embedder. ``prefix``: for models that tell queries from passages."""
+    """An Arrow UDF over a batch embedder; null texts are not sent and get null. ``prefix``: for models that tell queries from passages."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        out: list = []
-        for a in range(0, len(texts), batch):
-            out += embedder([prefix + (t or "") for t in texts.iloc[a : a + batch]])
-        return pd.Series([[float(x) for x in v] for v in out])
+        given = [i for i, t in enumerate(texts) if t is not None]
+        out: list = [None] * len(texts)
+        for a in range(0, len(given), batch):
+            some = given[a : a + batch]
+            for i, v in zip(some, embedder([prefix + texts.iloc[i] for i in some]), strict=True):
+                out[i] = [float(x) for x in v]
+        return pd.Series(out, dtype=object)
 
     return run
 

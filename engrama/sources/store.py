@@ -73,12 +73,14 @@ class Store:
     def _log(self, generation: int) -> str:
         return f"{self.root}/log/g{generation:06d}"
 
-    def append(self, ops: DataFrame, seqs: int = 1) -> int:
-        """One job and one commit per batch; the batch shows only with the commit. ``seqs``: how many numbers it takes."""
+    def append(self, ops: DataFrame, seqs: int = 1, **marks) -> int:
+        """One job and one commit per batch; the batch shows only with the commit, and ``marks`` with it. ``seqs``: how many numbers it takes."""
         m = self.manifest()
         first = m["next"]
-        (ops.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OPLOG]).write.mode("append").parquet(f"{self._log(m['generation'])}/batch={first:012d}"))
-        self.commit(next=first + seqs)
+        rows = ops.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OPLOG])
+        # what an uncommitted attempt may have left under this number goes
+        rows.write.mode("overwrite").parquet(f"{self._log(m['generation'])}/batch={first:012d}")
+        self.commit(next=first + seqs, **marks)
         return first
 
     def tail(self) -> DataFrame:

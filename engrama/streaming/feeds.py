@@ -18,16 +18,19 @@ def request_stream(spark: SparkSession, folder: str) -> DataFrame:
 def remember_stream(requests: DataFrame, engine: Engine, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Each micro-batch becomes one batch of operations; invalid requests are left out, as no caller can be told.
 
-    A batch that is replayed after a failure is recognised by its number and skipped.
+    A batch and its number are committed together: one that is replayed after a failure is recognised and skipped.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if engine.store.manifest().get("streamed", -1) >= number:
+        seen = engine.store.manifest().get("streamed", {})
+        if seen.get(checkpoint, -1) >= number:
             return
         good = validated(batch).filter("problem IS NULL").drop("problem")
+        mark = {"streamed": seen | {checkpoint: number}}
         if good.limit(1).count():
-            engine.remember_batch(good)
-        engine.store.commit(streamed=number)
+            engine.remember_batch(good, **mark)
+        else:
+            engine.store.commit(**mark)
 
     return requests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -287,4 +287,4 @@ def test_clients(spark):
         parse_scores("[1]", 2)
     column = embedding_column(lambda texts: [[float(len(t))] for t in texts], prefix="query: ")
     df = spark.createDataFrame([("ab",), (None,)], "t string")
-    assert [r[0] for r in df.select(column(F.col("t"))).collect()] == [[9.0], [7.0]]
+    assert [r[0] for r in df.select(column(F.col("t"))).collect()] == [[9.0], None]
