@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``[\\x20\\x09-\\x0D]`` as a Python string of characters.
-BLANKS = " \t\n\x0b\x0c\r"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""

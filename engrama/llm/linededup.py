@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, text_or_empty
 
-#: ``[\x20\x09-\x0D]`` for ``trim``
-_BLANKS = "' \\t\\n\\u000B\\u000C\\r'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
