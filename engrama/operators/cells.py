@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import LEAST_STEP
 from ..schema import SQ8_FROM_DIM
-from .knn import assign, best_rows, centroids
+from .knn import assign, best_rows, centroids, in_blocks
 from .ranking import top_k
 
 MODES = ("auto", "always", "never")
@@ -102,12 +102,6 @@ def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "
         read = stored.filter(F.col("cell").isin(*map(int, np.unique(probes)))) if len(part) else stored.limit(0)
         return read.mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 
-    part: list = []
-    for r in queries.filter(F.size("query_embedding") == dim).select("qid", "query_embedding").toLocalIterator():
-        part.append(r)
-        if len(part) == block:
-            out = scan(part) if out is None else out.unionByName(scan(part))
-            part = []
-    if part or out is None:
+    for part in in_blocks(queries.filter(F.size("query_embedding") == dim).select("qid", "query_embedding"), block):
         out = scan(part) if out is None else out.unionByName(scan(part))
     return top_k(out, "score", k, key=key)

@@ -42,6 +42,24 @@ def eligible(request: dict, pdf: pd.DataFrame, now: int | None) -> np.ndarray:
     return ok
 
 
+def in_blocks(queries: DataFrame, block: int) -> Iterator[list[dict]]:
+    """A stated query set as lists of at most ``block`` rows; vectors are arrays. One block comes by Arrow, more one after the other."""
+    first = queries.limit(block + 1).toArrow()
+    if first.num_rows <= block:
+        at = first.column_names.index("query_embedding")
+        rest = first.remove_column(at).to_pylist()
+        yield [r | {"query_embedding": np.asarray(v.values, float)} for r, v in zip(rest, first.column(at), strict=True)]
+        return
+    part: list[dict] = []
+    for r in queries.toLocalIterator():
+        part.append(r.asDict() | {"query_embedding": np.asarray(r["query_embedding"], float)})
+        if len(part) == block:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
 def constraints_of(request: dict) -> tuple:
     return tuple(tuple(v) if isinstance(v, list) else v for v in map(request.get, CONSTRAINTS))
 
@@ -64,8 +82,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
     """
     spark = corpus.sparkSession
     names = ["qid", "query_embedding", *(CONSTRAINTS if filtered else ())]
-    # a stated query set: read in blocks of `block` rows, so that a broadcast is bounded by that many vectors
-    rows = queries.filter(F.col("query_embedding").isNotNull()).select(*names).toLocalIterator()
+    # read in blocks of `block` rows, so that a broadcast is bounded by that many vectors
+    asked = queries.filter(F.col("query_embedding").isNotNull()).select(*names)
     kind = corpus.schema[key].dataType.simpleString()
     columns = [key, vector] + (["kind", "tags", "session_id", "agent_id", "created_at", "expires_at", "visibility"] if filtered or now is not None else [])
     out = None
@@ -107,13 +125,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
 
         return corpus.select(*columns).mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 
-    part: list[dict] = []
-    for r in rows:
-        part.append(r.asDict())
-        if len(part) == block:
-            out = scan(part) if out is None else out.unionByName(scan(part))
-            part = []
-    if part or out is None:
+    for part in in_blocks(asked, block):
         out = scan(part) if out is None else out.unionByName(scan(part))
     return top_k(out, "score", k, key=key)
 
