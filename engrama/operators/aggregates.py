@@ -16,8 +16,7 @@ def stats(live: DataFrame, tail_ops: Column | int = 0) -> DataFrame:
     entities = live.select(F.explode("entities").alias("e")).agg(F.count_distinct("e").alias("entities"))
     counts = live.agg(F.count(F.lit(1)).alias("total_memories"), F.count("embedding").alias("vector_indexed"), F.count("text").alias("lexical_indexed"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("vector_dim"))
     tail = F.lit(tail_ops) if isinstance(tail_ops, int) else tail_ops
-    # two single rows side by side
-    return counts.join(F.broadcast(entities)).select("*", (F.col("vector_dim") >= SQ8_FROM_DIM).alias("quantized"), tail.cast("long").alias("wal_tail_ops"))
+    return counts.withColumn("entities", entities.scalar()).select("*", (F.col("vector_dim") >= SQ8_FROM_DIM).alias("quantized"), tail.cast("long").alias("wal_tail_ops"))
 
 
 def latency_histogram(rows: DataFrame, seconds: Column, by: str, edges: tuple[float, ...] = EDGES) -> DataFrame:
@@ -46,7 +45,8 @@ def verdicts(rows: DataFrame, verdict: str, by: str) -> DataFrame:
 def recall_at_k(found: DataFrame, truth: DataFrame, key: str = "id") -> DataFrame:
     """One row: share of the true neighbours that were found."""
     hits = truth.join(found.select("qid", key), ["qid", key], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
-    return truth.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(hits)).select("hits", "total", (F.col("hits") / F.col("total")).alias("recall"))
+    total = truth.agg(F.count(F.lit(1)).alias("total")).withColumn("hits", hits.scalar())
+    return total.select("hits", "total", F.try_divide("hits", "total").alias("recall"))
 
 
 def hit_at_k(found: DataFrame, answers: DataFrame, k: int, key: str = "id") -> DataFrame:

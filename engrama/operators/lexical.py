@@ -49,8 +49,8 @@ def bm25(requests: DataFrame, corpus: DataFrame, key: str = "id", text: str = "t
 
 def _score(posted: DataFrame, stats: DataFrame, terms: DataFrame, key: str, keep) -> DataFrame:
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of two numbers beside each term
-    weighed = df.join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("term", "idf", "avgdl")
+    whole = stats.select(F.struct("n", "avgdl")).scalar()
+    weighed = df.withColumn("s", whole).withColumn("idf", F.log((F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).select("term", "idf", "s.avgdl")
     scored = posted.join(weighed, "term").join(terms, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     found = scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
