@@ -1,7 +1,7 @@
 """Line dedup: the first document that holds a line keeps it. DataFrame functions only.
 
-Hashes of lines are range-partitioned with the document's salt, sorted by document and position, and first
-occurrences are taken in that order. Salts split a line that many documents share; only the first document of
+Hashes of lines, with the document's salt, are dealt out by ranges, sorted by document and position, and first
+occurrences are taken in that order. Hashes are even, so ranges of equal width are: no pass samples their bounds. Salts split a line that many documents share; only the first document of
 each salt is still open afterwards, a few rows per line, and meets the others in a second, small window.
 What is returned is a compressed bitmap per document: 64-bit words of dropped positions, absent where nothing goes.
 
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, text_or_empty
 
+#: Ranges of hashes per partition: enough to deal them evenly.
+RANGES = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
     """The line without blanks at both ends, A-Z lowered."""
-    return F.translate(F.trim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
+    bare = F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
+    ascii_ = F.octet_length(bare) == F.char_length(bare)  # there the faster function does the same
+    return F.when(ascii_, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,15 +41,16 @@ def dropped_words(docs: DataFrame, key: str = "doc_id", text: str = "text", shor
     lines = lines.withColumn("line", line_key(F.col("line"))).filter(F.char_length("line") >= shortest)
     # two hashes with different seeds: equal only for equal lines, for all practical sizes
     lines = lines.select("id", "row", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.pmod(F.hash("id"), F.lit(salts)).alias("salt"))
-    dealt = lines.repartitionByRange(n, "h", "g", "salt")
-    first = F.first("id").over(W.partitionBy("h", "g", "salt").orderBy(F.col("id").asc_nulls_first(), "pos").rowsBetween(W.unboundedPreceding, 0))
+    bits = (RANGES * n - 1).bit_length()
+    dealt = lines.withColumn("range", F.shiftrightunsigned(F.xxhash64("h", "g", "salt"), 64 - bits)).repartition(n, "range")
+    first = F.first("id").over(W.partitionBy("range", "h", "g", "salt").orderBy(F.col("id").asc_nulls_first(), "pos").rowsBetween(W.unboundedPreceding, 0))
     marked = dealt.withColumn("first", first).withColumn("later", ~F.col("id").eqNullSafe(F.col("first")))
     sure = marked.filter("later").select("id", "row", "pos")
     open_ = marked.filter("NOT later").groupBy("h", "g", "id", "row").agg(F.collect_list("pos").alias("at"))
     best = F.first("id").over(W.partitionBy("h", "g").orderBy(F.col("id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
     lost = open_.withColumn("best", best).filter(~F.col("id").eqNullSafe(F.col("best"))).select("id", "row", F.explode("at").alias("pos"))
-    bits = sure.unionByName(lost).groupBy("id", "row", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return bits.groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    words = sure.unionByName(lost).groupBy("id", "row", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return words.groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 10, salts: int = 64) -> DataFrame:
