@@ -12,6 +12,8 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.embedding import hash_embed
 from ..functions.entities import STOPWORDS, extract_entities
+from ..functions.time import STAMP
+from ..functions.time import stamp_to_ms as to_ms
 from ..operators import aggregates, cells, filters, graph, ingest, knn, lexical, lifecycle, oplog, records
 from ..operators.ranking import fuse, recency, top_k
 from ..plugins import keyword_reranker
@@ -506,6 +508,12 @@ def prefixing(s, d):
     return table(s, d, "benchmark").select("item_id", tx.prefixed(F.col("text"), "query: ").alias("as_query"), tx.prefixed(F.col("text"), "passage: ").alias("as_passage"))
 
 
+@query("WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE strftime(ts, '%b %d, %Y, %H:%M:%S') END AS stamp FROM events) SELECT event_id, stamp, epoch_us(try_strptime(stamp, '%b %d, %Y, %H:%M:%S')) // 1000 AS ms FROM e")
+def stamp_to_ms(s, d):
+    stamp = F.when(F.col("event_id") % 7 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), STAMP))
+    return table(s, d, "events").select("event_id", stamp.alias("stamp")).withColumn("ms", to_ms(F.col("stamp")))
+
+
 @query("""WITH p AS (SELECT page_id, trim(regexp_replace(html, '\\s+', ' ', 'g')) AS t FROM pages), c AS (SELECT page_id, t, unnest(range(0, length(t), 680)) AS place FROM p)
 SELECT page_id, place::INT AS place, substr(t, place + 1, 800) AS chunk FROM c WHERE length(substr(t, place + 1, 800)) > 100""")
 def chunk_text(s, d):

@@ -5,10 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from engrama.__main__ import parser
 from engrama.functions import text as tx
 from engrama.functions import vectors as vx
 from engrama.functions.embedding import embed, features_of, hash_embed
 from engrama.functions.entities import entities_of, extract_entities
+from engrama.functions.time import stamp_to_ms
 
 
 def test_tokenize(spark):
@@ -78,6 +80,19 @@ def test_entities_are_capped(spark):
     assert [r[0] for r in df.select(extract_entities("t", "g")).collect()] == [["x1", "dana"], []]
 
 
+def test_stamps(spark):
+    df = spark.createDataFrame([("Dec 15, 2025, 08:41:23",), ("Dec 5, 2025, 08:41:23",), ("2025-12-15",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(stamp_to_ms(F.col("t"))).collect()]
+    assert got[0] == 1_765_788_083_000 and got[2:] == [None, None, None]
+
+
+def test_command_line():
+    args = parser().parse_args(["serve", "--root", "/x", "--key", "abcdefgh:ns", "--port", "1"])
+    assert (args.command, args.root, args.key, args.port) == ("serve", "/x", ["abcdefgh:ns"], 1)
+    with pytest.raises(SystemExit):
+        parser().parse_args(["demo"])
+
+
 def test_embedding(spark):
     f = dict(features_of("deploy now"))
     assert f["deploy"] == 1.0 and f["#dep"] == 0.4 and f["deploy_now"] == 0.7 and "#now" not in f
