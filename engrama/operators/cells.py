@@ -1,6 +1,7 @@
 """An index of vectors by cells: written once, partitioned by the nearest of k-means centroids, optionally as 8-bit codes.
 
-A search reads the folders of its queries' ``n_probe`` nearest cells and scores them in Arrow batches.
+A search reads the folders of its queries' ``n_probe`` nearest cells and scores them in Arrow batches. Where no cell may be missed
+(``bounded``), it then reads every other cell, unless the cone and the longest vector of that cell rule it out.
 Vectors of another length than the index's are left out, as they are of exact search.
 """
 
@@ -39,6 +40,29 @@ def _encode(v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"low": low, "delta": delta, "codes": [c.tobytes() for c in codes]})
 
 
+def _decoded(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+    """The vectors of stored rows, as a search scores them."""
+    if "codes" not in pdf:
+        return np.vstack(pdf["exact"].to_numpy()).astype(float)
+    codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), dim)
+    return pdf["low"].to_numpy()[:, None] + pdf["delta"].to_numpy()[:, None] * codes
+
+
+def _extents(stored: DataFrame, centers: np.ndarray) -> dict[int, tuple[float, float]]:
+    """Of each cell with rows: the widest angle of a vector to the centre, and the longest vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, some in pdf.groupby("cell"):
+                m = _decoded(some, centers.shape[1])
+                norms = np.linalg.norm(m, axis=1)
+                near = np.clip(m @ centers[int(cell)] / np.maximum(norms, 1e-300), -1, 1)
+                yield pd.DataFrame({"cell": [int(cell)], "angle": [float(np.arccos(near[norms > 0]).max(initial=0.0))], "norm": [float(norms.max())]})
+
+    found = stored.mapInPandas(run, "cell int, angle double, norm double").groupBy("cell").agg(F.max("angle").alias("angle"), F.max("norm").alias("norm"))
+    return {r["cell"]: (r["angle"], r["norm"]) for r in found.collect()}  # as many as cells
+
+
 def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto", key: str = "id", vector: str = "embedding", seed: int = 1) -> None:
     """``cells``: a bounded number of centroids, learned from 64 rows each."""
     spark = corpus.sparkSession
@@ -47,7 +71,6 @@ def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto
     dim = first[0]["n"] if first else 0
     fitting = some.filter(F.size(vector) == dim).select(key, F.col(vector).cast("array<double>").alias(vector))
     centers = centroids(fitting, cells, vector, seed) if dim else np.zeros((0, 0))
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
     placed = assign(fitting, centers, vector)
     if quantizes(mode, dim):
         q = _encode(F.col(vector))
@@ -57,11 +80,17 @@ def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto
     # a crowded cell is dealt out by key too
     dealt = placed.repartition("cell", F.pmod(F.xxhash64(key), F.lit(8)))
     dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
+    extents = _extents(spark.read.parquet(f"{path}/vectors"), centers) if dim else {}
+    rows = [(i, c.tolist(), *extents.get(i, (0.0, 0.0))) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "cell int, center array<double>, angle double, norm double").coalesce(1).write.parquet(f"{path}/centers")
 
 
-def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "id", block: int = 4096) -> DataFrame:
+def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "id", block: int = 4096, bounded: bool = False) -> DataFrame:
     """(qid, id, score, rank) within the nearest cells of each query (qid, query_embedding).
 
+    ``bounded``: a first scan of these gives each query its k-th score (as many numbers as a block has queries); every cell that may
+    hold a better one is then searched too, so that nothing is missed but what 8-bit codes round.
+
     Queries are a stated set, taken in blocks of ``block``. Only folders of cells that a block probes are read; each Arrow batch is
     multiplied with the queries that probe its cells, and gives at most k rows a query.
     """
@@ -74,10 +103,24 @@ def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "
     kind = stored.schema[key].dataType.simpleString()
     out = None
 
-    def scan(part: list) -> DataFrame:
-        matrix = np.array([r["query_embedding"] for r in part], float).reshape(len(part), dim)
-        probes = np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :n_probe]
-        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in part]), matrix, {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}))
+    def nearest_cells(matrix: np.ndarray) -> np.ndarray:
+        probed = np.zeros((len(matrix), len(centers)), bool)
+        np.put_along_axis(probed, np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :n_probe], True, axis=1)
+        return probed
+
+    def not_ruled_out(part: list, matrix: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """Cells whose bound reaches the k-th score found in those probed."""
+        found = top_k(scan(part, matrix, probed), "score", k, key=key).groupBy("qid").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        least = {r["qid"]: r["least"] for r in found.filter(F.col("n") >= k).collect()}
+        norms = np.linalg.norm(matrix, axis=1)
+        off = np.arccos(np.clip(matrix @ centers.T / np.maximum(norms, 1e-300)[:, None], -1, 1))
+        most = norms[:, None] * np.array([r["norm"] for r in rows])
+        bound = most * np.maximum(np.cos(np.maximum(off - np.array([r["angle"] for r in rows]), 0.0)), 0.0)
+        return probed | (bound + 1e-6 * (1 + most) >= np.array([least.get(r["qid"], -np.inf) for r in part])[:, None])
+
+    def scan(part: list, matrix: np.ndarray, probed: np.ndarray) -> DataFrame:
+        read_cells = np.flatnonzero(probed.any(axis=0))
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in part]), matrix, {int(c): np.flatnonzero(probed[:, c]) for c in read_cells}))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, asked, probing = shared.value
@@ -99,9 +142,14 @@ def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "
                         at = np.concatenate(best)
                         yield pd.DataFrame({"qid": np.repeat(qids[which], sizes), key: ids[at], "score": scores[at, np.repeat(np.arange(len(which)), sizes)]})
 
-        read = stored.filter(F.col("cell").isin(*map(int, np.unique(probes)))) if len(part) else stored.limit(0)
+        read = stored.filter(F.col("cell").isin(*map(int, read_cells))) if len(part) else stored.limit(0)
         return read.mapInPandas(score, f"qid bigint, `{key}` {kind}, score double")
 
     for part in in_blocks(queries.filter(F.size("query_embedding") == dim).select("qid", "query_embedding"), block):
-        out = scan(part) if out is None else out.unionByName(scan(part))
+        matrix = np.array([r["query_embedding"] for r in part], float).reshape(len(part), dim)
+        probed = nearest_cells(matrix)
+        if bounded and len(part):
+            probed = not_ruled_out(part, matrix, probed)
+        scanned = scan(part, matrix, probed)
+        out = scanned if out is None else out.unionByName(scanned)
     return top_k(out, "score", k, key=key)

@@ -271,7 +271,7 @@ def _by_cells(s, d, mode: str) -> DataFrame:
 
     path = scratch(s, "cells")
     cells.write_index(table(s, d, "embeddings"), path, 16, mode, key="vec_id")
-    return _hits(cells.search(probes(s, d), path, 10, n_probe=8, key="vec_id"))
+    return _hits(cells.search(probes(s, d), path, 10, n_probe=8, key="vec_id", bounded=True))
 
 
 @query()

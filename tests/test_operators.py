@@ -55,6 +55,24 @@ def test_ann_recall(spark, tmp_path):
     assert cells.search(asked.limit(0), f"{tmp_path}/never", 10).collect() == []
 
 
+def test_bounded_search_misses_nothing(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    loose = rng.normal(size=(600, 16))
+    centers = rng.normal(size=(6, 16))
+    tight = centers[rng.integers(0, 6, 600)] + 0.05 * rng.normal(size=(600, 16))
+    for name, v in (("loose", loose), ("tight", tight)):
+        corpus = spark.createDataFrame(pd.DataFrame({"id": range(600), "embedding": v.astype(np.float32).astype(float).tolist()}))
+        asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 600, 40)], "qid long, query_embedding array<double>")
+        truth = knn.knn(asked, corpus, 10)
+        recall = lambda got: aggregates.recall_at_k(got, truth).first()["recall"]  # noqa: E731, B023
+        cells.write_index(corpus, f"{tmp_path}/{name}", 12, "never")
+        assert recall(cells.search(asked, f"{tmp_path}/{name}", 10, n_probe=1, block=7, bounded=True)) == 1
+        if name == "loose":
+            assert recall(cells.search(asked, f"{tmp_path}/{name}", 10, n_probe=1)) < 0.9
+            cells.write_index(corpus, f"{tmp_path}/codes", 12, "always")
+            assert recall(cells.search(asked, f"{tmp_path}/codes", 10, n_probe=1, bounded=True)) >= 0.9
+
+
 def test_term_index_gives_the_same(spark, tmp_path):
     rng = random.Random(8)
     corpus = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 30)))) for i in range(80)], "id string, text string")

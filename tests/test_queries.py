@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from engrama.operators import aggregates
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
@@ -38,5 +39,13 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["knn_ann", "knn_ann_sq8"])
+def test_indexed_recall(spark, name, size):
+    d = f"/root/testdata/{size}"
+    truth = driver.queries()["knn_exact"](spark, d)
+    assert aggregates.recall_at_k(driver.queries()[name](spark, d), truth, key="vec_id").first()["recall"] >= 0.9
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
