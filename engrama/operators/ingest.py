@@ -67,11 +67,16 @@ def candidates_of(exchanges: DataFrame, extractor: Callable[[str, list[str]], st
     return exchanges.select("exchange", "conversation", "known").mapInPandas(run, "exchange string, place int, text string, kind string, importance double")
 
 
-def new_facts(candidates: DataFrame, live: DataFrame, threshold: float = DEDUP_COSINE) -> DataFrame:
-    """Candidates (qid, query_embedding, ...) without a live row of any kind at ``threshold`` or nearer."""
-    from .records import nearest
+def new_facts(candidates: DataFrame, live: DataFrame, threshold: float = DEDUP_COSINE, live_already: bool = False) -> DataFrame:
+    """Candidates (qid, query_embedding, ...) without a live row of any kind at ``threshold`` or nearer.
 
-    near = nearest(candidates, live).filter(F.round("score", 9) >= threshold)
+    ``live_already``: candidates are live rows themselves, and the row whose id is ``qid`` is left out.
+    """
+    from .knn import knn
+
+    near = knn(candidates, live, 2 if live_already else 1).filter(F.round("score", 9) >= threshold)
+    if live_already:
+        near = near.filter(F.col("id") != F.col("qid"))
     return candidates.join(near.select("qid"), "qid", "left_anti")
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as driver
@@ -47,5 +48,21 @@ def test_indexed_recall(spark, name, size):
     assert aggregates.recall_at_k(driver.queries()[name](spark, d), truth, key="vec_id").first()["recall"] >= 0.9
 
 
+def test_dedup_existing_searches_every_label(spark, tmp_path):
+    """Candidates 0, 50, ..., 550: one near a row of each label, one near none, one without any vector."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 64))
+    for label in range(10):
+        v[50 * label + 10 + label] = v[50 * label] + 0.1 * rng.normal(size=64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, v[i].tolist() if i != 550 else None, i % 10) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    s = np.array([x if x is not None else [0.0] * 64 for _, x, _ in rows])
+    s = s[::50] @ s.T
+    s[range(12), range(0, 600, 50)] = -1
+    assert sorted(np.flatnonzero(s.max(axis=1) >= 0.8)) == list(range(10))
+    assert [r["qid"] for r in driver.queries()["dedup_existing"](spark, str(tmp_path)).orderBy("qid").collect()] == [500, 550]
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
