@@ -55,15 +55,16 @@ def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(key, fingerprint as a signed 64-bit integer) of every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, text_hash: str | None = None) -> DataFrame:
+    """(key, fingerprint as a signed 64-bit integer) of every row; with a column ``text_hash``, XXH64 of its text, if asked."""
+    more = [] if text_hash is None else [text_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), width, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], [key, "fingerprint", *more])
 
-    return docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).cast("binary").alias("text")).mapInArrow(run, f"`{key}` bigint, fingerprint bigint")
+    return docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).cast("binary").alias("text"), *(F.xxhash64(text).alias(n) for n in more)).mapInArrow(run, f"`{key}` bigint, fingerprint bigint" + "".join(f", `{n}` bigint" for n in more))
 
 
 def band_choices(radius: int, bands: int) -> list[list[tuple[int, int]]]:
@@ -243,24 +244,35 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _classes(prints: DataFrame, least: dict, radius: int, bands: int, tile: int) -> DataFrame:
+    """(fingerprint, root, and the aggregates ``least``) of each fingerprint in ``prints``."""
+    distinct = materialize(prints.groupBy("fingerprint").agg(*(c.alias(n) for n, c in least.items())), "distinct-fingerprints")
+    roots = components(links(distinct.select("fingerprint"), radius, bands, tile))
+    return distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 6, tile: int = 1024) -> DataFrame:
     """(key, fingerprint as 16 hex digits, component_id: the smallest key that links lead to, its own included)."""
     prints = materialize(fingerprints(docs, key, text, width, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fingerprint"), radius, bands, tile))
-    classes = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    classes = _classes(prints, {"least": F.min(key)}, radius, bands, tile)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint", "left").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 6, tile: int = 1024) -> DataFrame:
     """One row of each component stays: that of the smallest key (of rows that share it, the one with the smallest text hash).
 
-    Rows with a null key are kept: no component is named after them.
+    A row is known by key and text hash, so that rows of one key but different texts stay or go by their own components.
+    Rows with a null key are dealt with among themselves: one of each component stays, that of the smallest text hash.
     """
-    found = near_duplicates(docs, key, text, **options)
-    stay = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__stay")).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(stay, F.col(key) == F.col("__stay")).drop("__stay")
-    first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text)))
-    return named.withColumn("__nth", first).filter("__nth = 1").drop("__nth").unionByName(docs.filter(F.col(key).isNull()))
+    prints = materialize(fingerprints(docs, key, text, width, seed, text_hash="__text"), "fingerprints")
+    named = F.col(key).isNotNull()
+    least = {"named": F.min(F.when(named, F.struct(F.col(key).alias("key"), F.col("__text").alias("text")))), "unnamed": F.min(F.when(~named, F.col("__text")))}
+    first = _classes(prints, least, radius, bands, tile).groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    stay = first.select(F.explode(F.array("named", F.when(F.col("unnamed").isNotNull(), F.struct(F.lit(None).cast("long").alias("key"), F.col("unnamed").alias("text"))))).alias("s"))
+    stay = stay.filter("s IS NOT NULL").select(F.col("s.key").alias("__key"), F.col("s.text").alias("__stay"))
+    hashed = docs.withColumn("__text", F.xxhash64(text))
+    kept = hashed.join(stay, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__stay")))
+    nth = F.row_number().over(W.partitionBy(key, "__text").orderBy("__text"))
+    return kept.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)

@@ -85,3 +85,13 @@ def test_odd_rows(spark):
     named = [r["doc_id"] for r in kept.collect()]
     assert named.count(None) == 2 and len(set(named)) == len(named) - 1
     assert simhash.near_duplicates(docs.limit(0)).collect() == [] and simhash.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_rows_that_share_a_key(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"t{rng.randrange(900)}" for _ in range(300)) for _ in range(4))
+    near = lambda x: x.replace(" ", "  ", 3)  # noqa: E731  another text, the same fingerprint
+    rows = [(1, a), (2, near(a)), (2, b), (2, c), (2, c), (None, d), (None, d), (None, near(d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], " ".join(r["text"].split())) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (2, b), (2, c), (None, d)], key=repr)
