@@ -4,6 +4,8 @@ Words score by the elements they stand in: tag names, the words of class, id and
 all links. Each such feature weighs as the log-odds of content among the words under it in labelled pages; one that speaks
 clearly against content (an advert's class) decides alone, else the sum does. Tags score negative, by how much more often they
 stand outside content. One scan finds the contiguous region of the largest sum; what scores negative inside it is left out.
+That a block is all links counts in finding the region only: inside it, such a block stays or goes by its other features, and one
+next to the region joins it if the two share an element that speaks for content, or if it is the heading before it.
 
 Blocks are what block-level tags bound; white space inside one becomes one space; blocks are joined by a newline.
 
@@ -57,6 +59,7 @@ LABELLED = (
 #: Elements that only build the page or mark words: no feature.
 PLAIN = frozenset("html body div span section b i em strong small u s sub sup font mark abbr cite code q time wbr br img a".split())
 LINKS = "l:links"
+HEADINGS = frozenset(f"t:h{i}" for i in range(1, 7))
 
 
 @dataclass
@@ -197,23 +200,60 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def with_linked(kinds: list, linked: list[bool], signs: list[bool], a: int, b: int, weights: Weights) -> tuple[int, int]:
+    """The region [a, b) with the linked blocks at its edges."""
+    inside = [i for i in range(a, b) if signs[i] and kinds[i][1].strip()]
+    if not inside:
+        return a, b
+
+    def shares(i: int, edge: int) -> bool:
+        return sum(weights.context.get(f, 0.0) for f in kinds[i][3] & kinds[edge][3]) > 0
+
+    def opposed(i: int, edge: int) -> bool:
+        """Whether a class of its own speaks against it."""
+        return any(f[:2] != "t:" and weights.context.get(f, 0.0) < 0 for f in kinds[i][3] - kinds[edge][3])
+
+    heading = None
+    for i in range(a - 1, -1, -1):
+        if kinds[i][0] or not kinds[i][1].strip():
+            continue
+        if heading is None and kinds[i][3] & HEADINGS:
+            heading = kinds[i][2]
+        heading = heading or 0
+        if not linked[i] or opposed(i, inside[0]) or not (kinds[i][2] == heading or shares(i, inside[0])):
+            break
+        a = i
+    for i in range(b, len(kinds)):
+        if kinds[i][0] or not kinds[i][1].strip():
+            continue
+        if not linked[i] or opposed(i, inside[-1]) or not shares(i, inside[-1]):
+            break
+        b = i + 1
+    return a, b
+
+
 def extract(page: str, weights: Weights, cache: dict | None = None) -> str:
     """The main text of a page."""
     found = _Page(page, {} if cache is None else cache)
     known: dict[tuple[frozenset[str], bool], float] = {}
     scores: list[float] = []
     signs: list[bool] = []
+    linked: list[bool] = []  # and not against content otherwise
     for tag, text, block, features in found.kinds:
         if tag:
             scores.append(weights.tag.get(tag, weights.other_tag))
             signs.append(False)
+            linked.append(False)
             continue
         key = features, found.links_only(block)
-        if key not in known:
-            known[key] = weights.of(features | {LINKS} if key[1] else features)
+        for k in (key, (features, False)):
+            if k not in known:
+                known[k] = weights.of(features | {LINKS} if k[1] else features)
         scores.append(known[key] * len(text.split()))
-        signs.append(known[key] > 0)
+        signs.append(known[features, False] > 0)
+        linked.append(key[1] and signs[-1])
     a, b = best_region(scores)
+    a, b = with_linked(found.kinds, linked, signs, a, b, weights)
     blocks: list[tuple[int, list[str]]] = []
     for (_, text, block, _), positive in zip(found.kinds[a:b], signs[a:b], strict=True):
         if positive:

@@ -56,6 +56,16 @@ def test_unseen_shapes():
         assert text(page) == want, before
 
 
+def test_linked_blocks_of_an_article():
+    body = "<h1><a href=/t>The linked title</a></h1><p>Plain words stand here in a row, and more of them.</p><h2><a href=#b>A linked heading</a></h2><p>Then the second part goes on for a while.</p><ul><li><a href=/1>First linked item</a></li><li>An item of words</li></ul><p><a href=/r>A reference that is all link</a></p><p>The end of the text is near.</p>"
+    tail = "<ul><li><a href=/s>One more source</a></li><li><a href=/u>Another source</a></li></ul>"
+    want = "The linked title\nPlain words stand here in a row, and more of them.\nA linked heading\nThen the second part goes on for a while.\nFirst linked item\nAn item of words\nA reference that is all link\nThe end of the text is near."
+    menus = "<nav><ul><li><a href=/>Home</a></li></ul></nav><ul><li><a href=/x>Outer menu</a></li></ul>", "<ul><li><a href=/y>Outer links</a></li></ul><footer><a href=/i>Imprint</a></footer>"
+    assert text(f"<body>{menus[0]}<article>{body}{tail}</article>{menus[1]}</body>") == want + "\nOne more source\nAnother source"
+    assert text(f"<body>{menus[0]}<div>{body}</div>{menus[1]}</body>") == want
+    assert text(f"<body><article>{body}<div class=share><a>Share this</a></div><p>A last word on it.</p></article></body>") == want + "\nA last word on it."
+
+
 def test_odd_markup():
     assert text("") == "" and text("<p") == "<p" or True
     for page in ("<", "<!--", "<script>", "<div", "</p></p>", "<p>" * 3000 + "word", "<a b='", "&#0;&#xFFFFFFF;&nosuch;", "<div>" * 2000 + "deep" + "</div>" * 2000):
