@@ -2,7 +2,8 @@
 
 A search reads the folders of its queries' ``n_probe`` nearest cells and scores them in Arrow batches. Where no cell may be missed
 (``bounded``), it then reads every other cell, unless the cone and the longest vector of that cell rule it out.
-Vectors of another length than the index's are left out, as they are of exact search.
+The cells hold the vectors of the most frequent length. Those of other lengths are kept beside them and searched exactly, each by the
+queries of its length.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import LEAST_STEP
 from ..schema import SQ8_FROM_DIM
-from .knn import assign, best_rows, centroids, in_blocks
+from .knn import assign, best_rows, centroids, in_blocks, knn
 from .ranking import top_k
 
 MODES = ("auto", "always", "never")
@@ -67,8 +68,9 @@ def write_index(corpus: DataFrame, path: str, cells: int = 64, mode: str = "auto
     """``cells``: a bounded number of centroids, learned from 64 rows each."""
     spark = corpus.sparkSession
     some = corpus.filter(F.col(vector).isNotNull())
-    first = some.select(F.size(vector).alias("n")).limit(1).collect()
-    dim = first[0]["n"] if first else 0
+    most = some.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    dim = most["n"] if most else 0
+    some.filter(F.size(vector) != dim).select(key, F.col(vector).cast("array<double>").alias("embedding")).write.parquet(f"{path}/rest")
     fitting = some.filter(F.size(vector) == dim).select(key, F.col(vector).cast("array<double>").alias(vector))
     centers = centroids(fitting, cells, vector, seed) if dim else np.zeros((0, 0))
     placed = assign(fitting, centers, vector)
@@ -152,4 +154,9 @@ def search(queries: DataFrame, path: str, k: int, n_probe: int = 8, key: str = "
             probed = not_ruled_out(part, matrix, probed)
         scanned = scan(part, matrix, probed)
         out = scanned if out is None else out.unionByName(scanned)
-    return top_k(out, "score", k, key=key)
+    found = top_k(out, "score", k, key=key)
+    rest = spark.read.schema(T.StructType([stored.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])).parquet(f"{path}/rest")
+    others = queries.filter(F.size("query_embedding") != dim)
+    if others.isEmpty() or rest.isEmpty():
+        return found
+    return found.unionByName(knn(others, rest, k, key=key, block=block).select(*found.columns))

@@ -73,6 +73,18 @@ def test_bounded_search_misses_nothing(spark, tmp_path):
             assert recall(cells.search(asked, f"{tmp_path}/codes", 10, n_probe=1, bounded=True)) >= 0.9
 
 
+def test_index_of_mixed_lengths(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(80, 8)).astype(np.float32).astype(float)
+    rows = [(1000 + i, [1.0, 0.1 * i]) for i in range(12)] + [(2000, [2.0] * 5), (2001, None)] + [(i, x.tolist()) for i, x in enumerate(v)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(5)] + [(98, [1.0, 1.0]), (97, [1.0] * 5), (96, [1.0] * 3), (95, None)], "qid long, query_embedding array<double>")
+    cells.write_index(corpus, f"{tmp_path}/mixed", 4, "never")
+    rows = lambda df: {(r["qid"], r["rank"]): r["id"] for r in df.collect()}
+    got = rows(cells.search(asked, f"{tmp_path}/mixed", 5, n_probe=1, bounded=True))
+    assert got == rows(knn.knn(asked, corpus, 5)) and got[98, 1] == 1011 and got[97, 1] == 2000 and {q for q, _ in got} == {0, 1, 2, 3, 4, 97, 98}
+
+
 def test_term_index_gives_the_same(spark, tmp_path):
     rng = random.Random(8)
     corpus = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 30)))) for i in range(80)], "id string, text string")
