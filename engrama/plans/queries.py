@@ -508,6 +508,18 @@ def prefixing(s, d):
     return table(s, d, "benchmark").select("item_id", tx.prefixed(F.col("text"), "query: ").alias("as_query"), tx.prefixed(F.col("text"), "passage: ").alias("as_passage"))
 
 
+@query()
+def hash_embed_documents(s, d):
+    """Of all documents, those without tokens left out: their vector is zero."""
+    e = table(s, d, "documents").select("doc_id", F.posexplode(hash_embed(F.col("text"))).alias("pos", "x"))
+    return e.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x")).filter("x <> 0")
+
+
+@query("SELECT doc_id, 'query: ' || text AS as_query, 'passage: ' || text AS as_passage FROM documents")
+def prefixing_documents(s, d):
+    return table(s, d, "documents").select("doc_id", tx.prefixed(F.col("text"), "query: ").alias("as_query"), tx.prefixed(F.col("text"), "passage: ").alias("as_passage"))
+
+
 @query("WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE strftime(ts, '%b %d, %Y, %H:%M:%S') END AS stamp FROM events) SELECT event_id, stamp, epoch_us(try_strptime(stamp, '%b %d, %Y, %H:%M:%S')) // 1000 AS ms FROM e")
 def stamp_to_ms(s, d):
     stamp = F.when(F.col("event_id") % 7 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), STAMP))

@@ -1,6 +1,8 @@
 """Every query against DuckDB on the smallest test data."""
 
+import hashlib
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -64,5 +66,22 @@ def test_dedup_existing_searches_every_label(spark, tmp_path):
     assert [r["qid"] for r in driver.queries()["dedup_existing"](spark, str(tmp_path)).orderBy("qid").collect()] == [500, 550]
 
 
+def test_embedder_and_prefixes_over_documents(spark, tmp_path):
+    texts = [None, "", " .. ", "one", "Über den Fluß", "some words again", "some words again", "lorem ipsum dolor " * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, text in enumerate(texts):
+        words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+        parts = [(w, 1.0) for w in words] + [("#" + w[j : j + 3], 0.4) for w in words if len(w) > 3 for j in range(len(w) - 2)] + [(f"{a}_{b}", 0.7) for a, b in zip(words, words[1:])]
+        v = np.zeros(256)
+        for part, weight in parts:
+            digest = hashlib.md5(part.encode()).hexdigest()
+            v[int(digest[:8], 16) % 256] += weight if digest[8] < "8" else -weight
+        want |= {(i, j): pytest.approx(x, abs=2e-6) for j, x in enumerate(v / (np.linalg.norm(v) or 1)) if round(x, 6)}
+    assert {(r["doc_id"], r["pos"]): r["x"] for r in driver.queries()["hash_embed_documents"](spark, str(tmp_path)).collect()} == want
+    got = {r["doc_id"]: (r["as_query"], r["as_passage"]) for r in driver.queries()["prefixing_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if x is None else (f"query: {x}", f"passage: {x}") for i, x in enumerate(texts)}
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
