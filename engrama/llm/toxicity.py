@@ -3,12 +3,18 @@
 Terms are words and word beginnings of 4 to 6 letters, hashed into ``buckets``; a document has a term or not. The
 machine adds a weight per term and, for each pair of terms, the product of their factors: a pair such as
 an insult and a mention of a group counts beyond the sum of its parts. It learns from a bounded sample of
-labelled rows (``most`` of each class, chosen by a hash of the key). Buckets that tell the classes apart
-in that sample are chosen first, at most ``features``; what the driver gathers and sends is bounded by these parameters.
+labelled rows (``most`` of each class, chosen by a hash of the key); what the driver gathers and sends is bounded by ``most``
+and ``buckets``.
+
+No term is left out for its own lack of weight: all buckets that ``least`` rows of the sample hold are learned together, weights and
+factors at once, by follow-the-regularised-leader steps. A weight stays zero, and a term's factors stay at their small start, until
+the gradients they gathered exceed ``hold``; factors gather them through the other terms of a document, so a term that
+means something only beside another is found too. After ``full`` passes, terms at less than half of both thresholds
+are set aside, and the others go on for ``epochs`` more passes. Terms whose weight and factors never moved play no part in scores.
 
 Defined results: a null or empty text has no term and gets the score of an empty document; repeated rows score alike;
 labels without a document, or null, are not learned from; with no or one class of labels every score is 0.5 or less;
-an empty table gives an empty result; language, source and key are never inputs.
+an empty table gives an empty result; language, source and key are never inputs; a text's score does not depend on what a worker read before.
 """
 
 from __future__ import annotations
@@ -44,24 +50,28 @@ def terms_of(word: str, buckets: int) -> list[int]:
 
 
 class _Terms:
-    """Terms of texts by a cache of words; ``chosen`` maps buckets to features, or None for all buckets."""
+    """Terms of texts by a cache of words, of at most ``most`` entries; ``chosen`` maps buckets to features, or None for all buckets."""
 
     def __init__(self, buckets: int, chosen: dict[int, int] | None = None, most: int = 400_000):
         self.buckets, self.chosen, self.most = buckets, chosen, most
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def of(self, text: str) -> list[int]:
-        words = words_of(text)
+        self.cache: dict[str, bytes] = {}
+
+    def _packed(self, word: str) -> bytes:
+        terms = terms_of(word, self.buckets)
+        if self.chosen is not None:
+            terms = [self.chosen[t] for t in terms if t in self.chosen]
+        if len(self.cache) >= self.most:
+            self.cache.clear()
+        packed = self.cache[word] = np.array(terms, "<i4").tobytes()
+        return packed
+
+    def of(self, text: str) -> np.ndarray:
+        """Distinct terms, ascending. What was found in the cache is kept when the cache is emptied in between."""
+        words = list(words_of(text))
         found = list(map(self.cache.get, words))
         if None in found:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            for w, known in zip(words, list(found), strict=True):
-                if known is None:
-                    terms = terms_of(w, self.buckets)
-                    self.cache[w] = tuple(terms if self.chosen is None else (self.chosen[t] for t in terms if t in self.chosen))
-            found = [self.cache.get(w) or () for w in words]
-        return sorted({t for terms in found if terms for t in terms})
+            found = [self._packed(w) if known is None else known for w, known in zip(words, found, strict=True)]
+        return np.unique(np.frombuffer(b"".join(found), "<i4"))
 
 
 @dataclass
@@ -74,56 +84,92 @@ class Machine:
     chosen: dict[int, int]
     buckets: int
 
-    def raw(self, rows: list[list[int]]) -> np.ndarray:
-        ids, at, n = _flat(rows)
-        sums = _by_row(self.factors[ids], at, n)
-        squares = _by_row(self.factors[ids] ** 2, at, n)
-        return self.bias + _by_row(self.weights[ids], at, n) + 0.5 * (sums**2 - squares).sum(axis=1)
+    def raw(self, rows: list) -> np.ndarray:
+        ids, starts, sizes = _flat(rows)
+        v = np.ascontiguousarray(self.factors.T)[:, ids]
+        pairs = 0.5 * (_by_row(v, starts, sizes) ** 2 - _by_row(v**2, starts, sizes)).sum(axis=0)
+        return self.bias + _by_row(self.weights[ids], starts, sizes) + pairs
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
+    def score(self, rows: list) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of all rows, the place of each row's first, and their numbers."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    ids = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
-    return ids, np.repeat(np.arange(len(rows)), sizes), len(rows)
+    ids = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    return ids, np.cumsum(sizes) - sizes, sizes
 
 
-def _by_row(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, *values.shape[1:]))
-    np.add.at(out, at, values)
+def _by_row(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of each row's values, along the last axis."""
+    out = np.zeros((*values.shape[:-1], len(sizes)))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[..., some] = np.add.reduceat(values, starts[some], axis=-1)
     return out
 
 
-def train(rows: list[list[int]], labels: np.ndarray, chosen: dict[int, int], buckets: int, k: int = 4, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 1) -> Machine:
-    """Adaptive gradient steps on the logistic loss, in small batches, in a fixed order."""
-    rng = np.random.default_rng(seed)
+class _Leader:
+    """State of the steps: gathered gradients and their squares; weights and factors follow from them."""
+
+    def __init__(self, m: int, k: int, start: float, hold: float, rates: tuple[float, float], seed: int):
+        self.still = np.random.default_rng(seed).choice([-start, start], (m, k))  # where factors rest
+        self.w, self.v = np.zeros(m), self.still.copy()
+        self.zw, self.nw, self.zv, self.nv = np.zeros(m), np.zeros(m), np.zeros((m, k)), np.zeros(m)
+        self.bias, self.nb, self.hold, self.rates = 0.0, 1.0, hold, rates
+
+    def step(self, y: np.ndarray, sizes: np.ndarray, starts: np.ndarray, u: np.ndarray, place: np.ndarray) -> None:
+        """One batch; ``u``: its distinct terms, ``place``: the place in ``u`` of each row's terms."""
+        now_w, now_v, still, nw, nv = (np.take(x, u, axis=0) for x in (self.w, self.v, self.still, self.nw, self.nv))
+        v = np.take(np.ascontiguousarray(now_v.T), place, axis=1)
+        sums = _by_row(v, starts, sizes)
+        raw = self.bias + _by_row(np.take(now_w, place), starts, sizes) + 0.5 * (sums**2 - _by_row(v * v, starts, sizes)).sum(axis=0)
+        error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y
+        g = np.bincount(place, np.repeat(error, sizes), len(u))
+        toward = np.repeat(error * sums, sizes, axis=1)  # of the sums over all terms of the row, less the term's own part
+        gv = np.column_stack([np.bincount(place, t, len(u)) for t in toward]) - g[:, None] * now_v
+        more = nw + g * g
+        z = np.take(self.zw, u) + g - (np.sqrt(more) - np.sqrt(nw)) / self.rates[0] * now_w
+        self.zw[u], self.nw[u] = z, more
+        self.w[u] = -np.sign(z) * np.maximum(np.abs(z) - self.hold, 0) * self.rates[0] / (1 + np.sqrt(more))
+        more = nv + (gv * gv).sum(axis=1)
+        z = np.take(self.zv, u, axis=0) + gv - ((np.sqrt(more) - np.sqrt(nv)) / self.rates[1])[:, None] * (now_v - still)
+        self.zv[u], self.nv[u] = z, more
+        part = np.maximum(1 - self.hold / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-12), 0)
+        self.v[u] = still - z * (part * self.rates[1] / (1 + np.sqrt(more)))[:, None]
+        self.nb += error.sum() ** 2
+        self.bias -= self.rates[0] * error.sum() / np.sqrt(self.nb)
+
+    def keep(self, which: np.ndarray) -> None:
+        for name in ("w", "nw", "zw", "nv", "still", "v", "zv"):
+            setattr(self, name, getattr(self, name)[which])
+
+
+def train(rows: list, labels: np.ndarray, chosen: dict[int, int], buckets: int, k: int = 4, full: int = 2, epochs: int = 8, rates: tuple[float, float] = (0.3, 0.05), hold: float = 3.0, start: float = 0.01, batch: int = 64, seed: int = 1) -> Machine:
+    """Steps on the logistic loss in small batches, in a fixed order. ``rows``: features, as ``chosen`` numbers the buckets."""
     m = len(chosen)
-    model = Machine(0.0, np.zeros(m), rng.normal(0, 0.05, (m, k)), chosen, buckets)
     if len(set(labels.tolist())) < 2:
-        model.bias, model.factors = (-1.0 if not labels.any() else 0.0), np.zeros((m, k))
-        return model
-    square_w, square_v, square_b = np.full(m, 1e-2), np.full((m, k), 1e-2), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), 256):
-            part = order[a : a + 256]
-            ids, at, n = _flat([rows[i] for i in part])
-            v = model.factors[ids]
-            sums = _by_row(v, at, n)
-            raw = model.bias + _by_row(model.weights[ids], at, n) + 0.5 * (sums**2 - _by_row(v**2, at, n)).sum(axis=1)
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]
-            gw, gv = decay * model.weights, decay * model.factors
-            np.add.at(gw, ids, error[at] / n)
-            np.add.at(gv, ids, (error[at] / n)[:, None] * (sums[at] - v))
-            square_w += gw**2
-            square_v += gv**2
-            square_b += (gb := error.mean()) ** 2
-            model.weights -= rate * gw / np.sqrt(square_w)
-            model.factors -= rate * gv / np.sqrt(square_v)
-            model.bias -= rate * gb / np.sqrt(square_b)
-    return model
+        return Machine(-1.0 if not labels.any() else 0.0, np.zeros(m), np.zeros((m, k)), chosen, buckets)
+    rng, state = np.random.default_rng(seed), _Leader(m, k, start, hold, rates, seed)
+    state.bias = float(np.log(labels.mean() / (1 - labels.mean())))
+    order, which = rng.permutation(len(rows)), np.arange(m)
+    for epoch in range(full + epochs):
+        if epoch == full:  # the terms that gathered too little are set aside
+            stay = (np.abs(state.zw) >= hold / 2) | (np.linalg.norm(state.zv, axis=1) >= hold / 2)
+            place = np.where(stay, np.cumsum(stay) - 1, -1)
+            rows = [(p := place[r])[p >= 0] for r in rows]
+            which = np.flatnonzero(stay)
+            state.keep(which)
+        for a in range(0, len(order), batch):
+            part = order[a : a + batch]
+            ids, starts, sizes = _flat([rows[i] for i in part])
+            state.step(labels[part], sizes, starts, *np.unique(ids, return_inverse=True))
+    moved = (state.w != 0) | (state.v != state.still).any(axis=1)
+    names = np.empty(m, np.int64)
+    names[list(chosen.values())] = list(chosen)
+    kept = {int(b): i for i, b in enumerate(names[which[moved]])}
+    return Machine(state.bias, state.w[moved], state.v[moved], kept, buckets)
 
 
 def _sample(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
@@ -133,56 +179,35 @@ def _sample(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
     return of(0).unionByName(of(1))
 
 
-def _featurised(sample: DataFrame, buckets: int, chosen: dict[int, int] | None) -> DataFrame:
+def _featurised(sample: DataFrame, buckets: int) -> DataFrame:
     """Rows (y, terms as packed int32) of a sample of (__y, __text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(buckets, chosen)
+        terms = _Terms(buckets)
         for batch in batches:
-            packed = [np.array(terms.of(t), "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            packed = [terms.of(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["y", "terms"])
 
     return sample.select("__y", "__text").mapInArrow(run, "y int, terms binary")
 
 
-def _separating(sample: DataFrame, buckets: int, features: int, least: int) -> dict[int, int]:
-    """The buckets whose presence tells the classes apart most clearly, at most ``features``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = _Terms(buckets), np.zeros((2, buckets), np.int64)
-        for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y, terms.of(t)] += 1
-        seen = np.flatnonzero(counts.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, counts[0, seen], counts[1, seen])], ["bucket", "no", "yes"])
-
-    sizes = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return {}
-    counts = sample.select("__y", "__text").mapInArrow(run, "bucket bigint, no bigint, yes bigint").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    pooled = (F.col("no") + F.col("yes") + 1.0) / (n0 + n1 + 2.0)
-    z = (F.col("yes") / n1 - F.col("no") / n0) / F.sqrt(pooled * (1 - pooled) * (1.0 / n0 + 1.0 / n1))
-    best = counts.filter(F.col("no") + F.col("yes") >= least).withColumn("z", z).filter(F.abs("z") >= 4).orderBy(F.abs("z").desc(), "bucket").limit(features).collect()
-    return {r["bucket"]: i for i, r in enumerate(best)}
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 10_000, buckets: int = 1 << 18, features: int = 4096, least: int = 3, k: int = 4) -> Machine:
-    """Learn from the given labels. ``most``: labelled rows of each class to learn from."""
-    from .common import materialize
-
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 10_000, buckets: int = 1 << 18, least: int = 3, **options) -> Machine:
+    """Learn from the given labels. ``most``: labelled rows of each class to learn from; ``least``: rows of these that a bucket is in."""
     sample = _sample(labels, key, label, most)
     named = docs.select(F.col(key).cast("long").alias("__id"), text_or_empty(text).alias("__text"))
     # at most 2 * `most` ids: a broadcast of bounded size
-    rows = materialize(named.join(F.broadcast(sample), "__id").select("__y", "__text"), "toxicity-sample")
-    chosen = _separating(rows, buckets, features, least)
-    found = _featurised(rows, buckets, chosen).collect()
-    found.sort(key=lambda r: (r["terms"], r["y"]))  # the same model whatever the order of rows
-    return train([np.frombuffer(r["terms"], "<i4").tolist() for r in found], np.array([r["y"] for r in found], float), chosen, buckets, k)
+    found = _featurised(named.join(F.broadcast(sample), "__id").select("__y", "__text"), buckets).toArrow()
+    pairs = sorted(zip(found["terms"].to_pylist(), found["y"].to_pylist(), strict=True))  # the same model whatever the order of rows
+    rows = [np.frombuffer(t, "<i4") for t, _ in pairs]
+    seen = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=buckets) >= least) if rows else np.zeros(0, np.int64)
+    place = np.full(buckets, -1)
+    place[seen] = np.arange(len(seen))
+    rows = [(p := place[r])[p >= 0] for r in rows]
+    return train(rows, np.array([y for _, y in pairs], float), {int(b): i for i, b in enumerate(seen)}, buckets, **options)
 
 
 def score(docs: DataFrame, model: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row; the model's size is bounded by ``features`` and ``k``."""
+    """(key, score) of every row; the model's size is bounded by ``buckets`` and its factors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

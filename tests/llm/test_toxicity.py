@@ -58,3 +58,55 @@ def test_odd_cases(spark):
     one = toxicity.fit(docs, none.unionByName(spark.createDataFrame([(0, 1)], "doc_id long, toxic int")))
     assert toxicity.score(docs, one).agg(F.max("score")).first()[0] <= 0.5
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_small_cache_loses_no_term():
+    text = " ".join(f"wörd{i % 40}y" for i in range(300))
+    whole, small = toxicity._Terms(1 << 12), toxicity._Terms(1 << 12, most=3)
+    want = sorted({t for w in toxicity.words_of(text) for t in toxicity.terms_of(w, 1 << 12)})
+    assert whole.of(text).tolist() == want
+    for t in ("wörd1y wörd2y", text, text[: len(text) // 2], text):
+        assert small.of(t).tolist() == whole.of(t).tolist() and len(small.cache) <= 3
+    chosen = {t: i for i, t in enumerate(want[::2])}
+    assert toxicity._Terms(1 << 12, chosen, most=3).of(text).tolist() == list(range(len(chosen)))
+
+
+def test_a_pair_alone_tells_the_classes_apart(spark):
+    """A label that is one word or the other, but not both: neither word has any weight of its own."""
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"n{rng.randrange(150)}" for _ in range(12)] + ["group"] * a + ["slur"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((i, int(a != b)))
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = docs_of(spark, texts)
+    model = toxicity.fit(docs, labelled.filter("doc_id % 3 <> 1"))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [(scores[i] >= 0.5) == bool(y) for i, y in labels if i % 3 == 1]
+    assert sum(held) / len(held) > 0.85
+
+
+def test_query(spark, tmp_path):
+    """The split, the cut and each score against the sum over all pairs; a text of a million words is scored whole."""
+    import zlib
+
+    from engrama.llm import queries
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["fine", "good", "calm", "rude", "vile"]) if i % 2 else f"w{rng.randrange(30)}" for _ in range(30)) for i in range(200)]
+    texts += [None, "", "w1 " * 1_000_000 + "rude vile " + " ".join(f"z{i}" for i in range(50_000))]
+    labels = [(i, i % 2, 1) for i in range(200)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r["doc_id"]: r for r in queries.op3_toxicity(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(texts))}
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame([x[:2] for x in labels if not held[x[0]]], "doc_id long, toxic int"))
+    for i, t in enumerate(texts):
+        found = {model.chosen[h] for w in toxicity.words_of(t or "") for h in toxicity.terms_of(w, model.buckets) if h in model.chosen}
+        raw = model.bias + sum(model.weights[a] for a in found) + sum(float(model.factors[a] @ model.factors[b]) for a in found for b in found if a < b)
+        want = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        assert out[i]["held_out"] == held[i] and out[i]["score"] == pytest.approx(want) and out[i]["predicted"] == int(out[i]["score"] >= 0.7)
+    assert len(out) == len(texts)
