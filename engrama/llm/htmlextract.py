@@ -1,7 +1,7 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 Words score by the elements they stand in: tag names, the words of class, id and role attributes, and whether their block is
-all links. Each such feature weighs as the log-odds of content among the words under it in labelled pages; one that speaks
+all links; a header or footer outside of all sections counts by its role, as a banner is. Each such feature weighs as the log-odds of content among the words under it in labelled pages; one that speaks
 clearly against content (an advert's class) decides alone, else the sum does. Tags score negative, by how much more often they
 stand outside content. One scan finds the contiguous region of the largest sum; what scores negative inside it is left out.
 That a block is all links counts in finding the region only: inside it, such a block stays or goes by its other features, and one
@@ -9,12 +9,17 @@ next to the region joins it if the two share an element that speaks for content,
 
 Blocks are what block-level tags bound; white space inside one becomes one space; blocks are joined by a newline.
 
+A page is read once, in time and memory that go with its length: what is missing once (a closing quote, an end tag) is not looked for again.
+A tag without ``>`` ends the page, as does an open comment or script; where a quote is never closed, this and all later
+tags end at their first ``>``. End tags that close nothing are passed over, and those of inline elements close no block.
+
 Defined results: null html is empty and gives empty text; html of a single unclosed tag, comment or script gives
-empty text; repeated rows are extracted alike; an empty table gives an empty result.
+empty text; repeated rows are extracted alike; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import html
 import math
 import re
@@ -25,20 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|math|iframe|object|noscript)(?=[\s>/])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)/?>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+")
+#: Elements whose content is no text of the page. The first three are never read as markup; of the others an end tag must follow.
+RAW = frozenset("script style iframe template svg math object noscript".split())
+NO_MARKUP = frozenset("script style iframe".split())
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]{9,});?")
 _NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-CLOSES_SELF = frozenset("li dt dd tr td th option".split())
+#: What a start tag closes if it is open, the outermost first.
+CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that may end without an end tag: they do not keep others from being closed.
+SOFT = frozenset(("p", *CLOSES_SELF))
 
 #: Labelled pages: markup with the main text inside ``{{`` and ``}}``. Invented, in the shapes that pages commonly have.
 LABELLED = (
@@ -59,9 +68,15 @@ LABELLED = (
 #: Elements that only build the page or mark words: no feature.
 PLAIN = frozenset("html body div span section b i em strong small u s sub sup font mark abbr cite code q time wbr br img a".split())
 LINKS = "l:links"
+#: The role of a page's own header and footer: those outside of its sections.
+ROLES = {"header": "banner", "footer": "contentinfo"}
+SECTIONS = ("article", "main", "section", "aside", "nav")
 HEADINGS = frozenset(f"t:h{i}" for i in range(1, 7))
 
 
+NONE: frozenset[str] = frozenset()
+
+
 @dataclass
 class Weights:
     """``context``: log-odds of content by feature; ``veto``: a feature at or below it decides alone; ``tag``: the (negative) score of a tag."""
@@ -81,82 +96,168 @@ class Weights:
         return max(-1.0, min(1.0, self.bias + sum(found)))
 
 
-def _features(tag: str, attr: str, cache: dict[tuple[str, str], tuple[str, ...]]) -> tuple[str, ...]:
-    key = (tag, attr)
-    if key not in cache:
-        found = [] if tag in PLAIN else ["t:" + tag]
-        if attr:
-            for values in _NAMES.findall(attr):
-                found += ["c:" + p for p in _PARTS.findall("".join(values).lower())]
-            if re.search(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none", attr, re.I):
-                found.append("a:hidden")
+def _features(tag: str, attr: str, role: str, cache: dict[tuple[str, str, str], tuple[str, ...]], known: frozenset[str] | dict | None) -> tuple[str, ...]:
+    """Features of an element; of ``known`` ones only, if given."""
+    key = (tag, attr, role)
+    if (found := cache.get(key)) is not None:
+        return found
+    names = ["c:" + role] if role else [] if tag in PLAIN else ["t:" + tag]
+    if attr:
+        for values in _NAMES.findall(attr):
+            names += ["c:" + p for p in _PARTS.findall("".join(values).lower())]
+        if re.search(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none", attr, re.I):
+            names.append("a:hidden")
+    found = tuple(dict.fromkeys(n for n in names if known is None or n in known))
+    if len(attr) <= 500:
         if len(cache) > 10_000:
             cache.clear()
-        cache[key] = tuple(dict.fromkeys(found))
-    return cache[key]
-
-
-def scan(page: str, visit, cache: dict) -> None:
-    """Call ``visit(kind, name, stack, text, block)`` for each tag (0) and text (1); ``stack``: open elements as (tag, features, state)."""
-    stack: list[list] = []
-    block = 0
-    for m in _TOKEN.finditer(page):
-        if m["text"]:
-            visit(1, "", stack, m["text"], block)
-            continue
-        tag = m["tag"]
-        if not tag:
+        cache[key] = found
+    return found
+
+
+class _Stack:
+    """Open elements. Each element is pushed and popped once; what a tag closes is found by its name."""
+
+    def __init__(self):
+        self.items: list[list] = []  # name, features, state
+        self.open: dict[str, list[int]] = {}  # places by name
+        self.blocks: list[int] = []  # places of elements that are not inline
+        self.walls: list[int] = []  # of these, the ones that are not SOFT
+        self.link = -1  # least number of open elements while a link is open, or -1
+
+    def push(self, name: str, features: tuple[str, ...]) -> None:
+        at = len(self.items)
+        self.items.append([name, features, None])
+        self.open.setdefault(name, []).append(at)
+        if name not in INLINE:
+            self.blocks.append(at)
+            if name not in SOFT:
+                self.walls.append(at)
+
+    def cut(self, to: int) -> None:
+        while len(self.items) > to:
+            name = self.items.pop()[0]
+            self.open[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+                if name not in SOFT:
+                    self.walls.pop()
+        if len(self.items) < self.link:
+            self.link = -1
+
+    def last(self, name: str) -> int:
+        places = self.open.get(name)
+        return places[-1] if places else -1
+
+    def start(self, name: str) -> None:
+        """Close what the start tag ``name`` closes."""
+        wall = self.walls[-1] if self.walls else -1
+        if name in CLOSES_P:
+            if (at := self.last("p")) > wall:
+                self.cut(at)
+        elif name in CLOSES_SELF:
+            for closed in CLOSES_SELF[name]:
+                if (at := self.last(closed)) > wall:
+                    self.cut(at)
+                    wall = min(wall, at - 1)
+
+    def end(self, name: str) -> None:
+        if (at := self.last(name)) >= 0 and not (name in INLINE and self.blocks and self.blocks[-1] > at):
+            self.cut(at)
+
+
+def scan(page: str, tagged, said, cache: dict, known=None) -> None:
+    """Call ``tagged(name)`` for each tag and ``said(stack, text, block)`` for each text."""
+    stack = _Stack()
+    block = at = 0
+    size, quotes, unclosed = len(page), True, set()
+    while at < size:
+        found = _MARKUP.search(page, at)
+        begin = found.start() if found else size
+        if begin > at:
+            said(stack, page[at:begin], block)
+        if begin == size:
+            return
+        if m := _TAG.match(page, begin):
+            closing, tag, attr = m.groups()
+            at = m.end()
+        elif m := _NAME.match(page, begin):
+            closing, tag = m.groups()
+            at = m.end()
+            end = page.find(">", at)
+            if end < 0:
+                return
+            if quotes:
+                stop = _ATTRIBUTES.match(page, at).end()
+                if stop < size and page[stop] == ">":
+                    end = stop
+                else:
+                    quotes = False
+            attr, at = page[at:end], end + 1
+        else:
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->", begin + 4) if comment else page.find(">", begin)
+            if end < 0:
+                return
+            at = end + (3 if comment else 1)
             continue
         tag = tag.lower()
+        if tag in RAW and not closing and not (attr.endswith("/") and tag in ("svg", "math")):
+            close = None if tag in unclosed else _ENDS[tag].search(page, at)
+            if close:
+                at = close.end()
+                continue
+            if tag in NO_MARKUP:
+                return
+            unclosed.add(tag)
         if tag not in INLINE:
             block += 1
         elif tag == "br":
-            visit(1, "", stack, " ", block)
-        visit(0, tag, stack, "", block)
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            said(stack, " ", block)
+        tagged(tag)
+        if closing:
+            if tag == "a":
+                stack.link = -1
+            stack.end(tag)
             continue
-        if tag in CLOSES_P or tag in CLOSES_SELF:
-            closes = ("p",) if tag in CLOSES_P else (tag, "dt", "dd") if tag in ("dt", "dd") else (tag, "td", "th") if tag in ("tr", "td", "th") else (tag,)
-            for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                    break
+        stack.start(tag)
         if tag not in VOID:
-            stack.append([tag, _features(tag, m["attr"] or "", cache), None])
+            role = ROLES[tag] if tag in ROLES and not any(stack.open.get(x) for x in SECTIONS) else ""
+            stack.push(tag, _features(tag, attr, role, cache, known))
+            if tag == "a":
+                stack.link = len(stack.items)
 
 
 class _Page:
     """Tags and texts of a page in order; each text with the features around it, each block with its share of link words."""
 
-    def __init__(self, page: str, cache: dict):
+    def __init__(self, page: str, cache: dict, known=None):
         self.kinds: list[tuple[str, str, int, frozenset[str]]] = []  # tag, text, block, features
         self.words: dict[int, list[int]] = {}  # of a block: all, in links
-        scan(page, self.visit, cache)
-
-    def visit(self, kind, name, stack, text, block):
-        if kind == 0:
-            self.kinds.append((name, "", block, frozenset()))
-            return
-        features = frozenset()
-        if stack:
-            if stack[-1][2] is None:  # outwards to the innermost element that is known
-                known = len(stack) - 1
-                while known and stack[known - 1][2] is None:
-                    known -= 1
-                for i in range(known, len(stack)):
-                    features, link = stack[i - 1][2] if i else (features, False)
-                    stack[i][2] = features.union(stack[i][1]) if stack[i][1] else features, link or stack[i][0] == "a"
-            features, link = stack[-1][2]
+        self.tags: dict[str, tuple[str, str, int, frozenset[str]]] = {}  # a tag's block is not asked for
+        scan(page, self.tagged, self.said, cache, known)
+
+    def tagged(self, name: str) -> None:
+        if name not in self.tags:
+            self.tags[name] = (name, "", 0, NONE)
+        self.kinds.append(self.tags[name])
+
+    def said(self, stack: _Stack, text: str, block: int) -> None:
+        features = NONE
+        items = stack.items
+        if items:
+            if items[-1][2] is None:  # outwards to the innermost element that is known
+                at = len(items) - 1
+                while at and items[at - 1][2] is None:
+                    at -= 1
+                for i in range(at, len(items)):
+                    above = items[i - 1][2] if i else NONE
+                    items[i][2] = above.union(items[i][1]) if items[i][1] else above
+            features = items[-1][2]
             n = len(text.split())
             counts = self.words.setdefault(block, [0, 0])
             counts[0] += n
-            counts[1] += n * link
+            counts[1] += n * (stack.link >= 0)
         self.kinds.append(("", text, block, features))
 
     def links_only(self, block: int) -> bool:
@@ -232,16 +333,34 @@ def with_linked(kinds: list, linked: list[bool], signs: list[bool], a: int, b: i
     return a, b
 
 
+def decoded(text: str) -> str:
+    """Character references resolved; numbers beyond all characters, however long, give the replacement character."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub("&#1114112;", text) if "&#" in text else text)
+
+
 def extract(page: str, weights: Weights, cache: dict | None = None) -> str:
     """The main text of a page."""
-    found = _Page(page, {} if cache is None else cache)
+    collecting = gc.isenabled()
+    gc.disable()  # a page makes many small objects and no cycles
+    try:
+        return _extract(page, weights, cache)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _extract(page: str, weights: Weights, cache: dict | None) -> str:
+    found = _Page(page, {} if cache is None else cache, weights.context)
     known: dict[tuple[frozenset[str], bool], float] = {}
     scores: list[float] = []
     signs: list[bool] = []
     linked: list[bool] = []  # and not against content otherwise
+    of_tag = weights.tag.get
     for tag, text, block, features in found.kinds:
         if tag:
-            scores.append(weights.tag.get(tag, weights.other_tag))
+            scores.append(of_tag(tag, weights.other_tag))
             signs.append(False)
             linked.append(False)
             continue
@@ -260,7 +379,7 @@ def extract(page: str, weights: Weights, cache: dict | None = None) -> str:
             if not blocks or blocks[-1][0] != block:
                 blocks.append((block, []))
             blocks[-1][1].append(text)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in blocks)
+    lines = (" ".join("".join(map(decoded, parts)).split()) for _, parts in blocks)
     return "\n".join(x for x in lines if x)
 
 

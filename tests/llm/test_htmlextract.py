@@ -67,7 +67,11 @@ def test_linked_blocks_of_an_article():
 
 
 def test_odd_markup():
-    assert text("") == "" and text("<p") == "<p" or True
+    for page in ("", "<p", "<p class='x", "<!-- open", "<script>var a", "<style>p{}", "</p", "<?xml", "<!doctype"):
+        assert text(page) == "", page
+    assert text("<article><p>Some words stand here, 3 < 4 and a<b>c</b> too.</p><p>And <i>more <p>of them</i> here.</article>") == "Some words stand here, 3 < 4 and ac too.\nAnd more\nof them here."
+    assert text("<article><p title='a > b'>Some words stand here.</p><p>A last &am<b>p;</b> &amp;lt; word &#" + "9" * 5000 + "; it is.</p></article>") == "Some words stand here.\nA last &amp; &lt; word \ufffd it is."
+    assert text("<article><p>First words of it</p><p class=\"ad>Second words</p><p>Third words of it</p></article>").startswith("First words of it")
     for page in ("<", "<!--", "<script>", "<div", "</p></p>", "<p>" * 3000 + "word", "<a b='", "&#0;&#xFFFFFFF;&nosuch;", "<div>" * 2000 + "deep" + "</div>" * 2000):
         assert isinstance(text(page), str)
     assert text("<article><p>" + "word " * 200_000 + "</p></article>").count("word") == 200_000
@@ -78,3 +82,48 @@ def test_rows(spark):
     out = H.extract_pages(pages)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "u", "Some text of the page"), (2, None, ""), (2, None, ""), (None, "v", "")], key=repr)
     assert H.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_hostile_pages_take_linear_time():
+    """Five megabytes each of what is never closed, or closes nothing."""
+    import time
+
+    word = "<article><p>" + "Plain words of the page. " * 40 + "</p>"
+    for part in ("<a ", '<a "', "<", "<!--", "<script>", "<div>", "</b>", "<div></b>", "<svg>", "<b><div class=x>", '<b">"', "<li>", "<td><table>"):
+        start = time.time()
+        text(word + part * (1_000_000 // len(part)))
+        small = time.time() - start
+        start = time.time()
+        text(word + part * (4_000_000 // len(part)))
+        assert time.time() - start < 8 * small + 3, part
+
+
+def test_what_a_tag_closes():
+    """Depth is no limit: an open p, li or td is closed by its like under any number of inline elements."""
+    deep = "<i>" * 50
+    for close, content in (("p", "<p class=ad>{}An offer<p>Plain words stand in this text."), ("li", "<ul><li class=ad>{}An offer<li>Plain words stand in this text.</ul>"), ("td", "<table><tr><td class=ad>{}An offer<td>Plain words stand in this text.</table>"), ("tr", "<table><tr class=ad><td>{}An offer<tr><td>Plain words stand in this text.</table>")):
+        for inside in ("", deep):
+            assert text(f"<article>{content.format(inside)}<p>The last words of it.</article>") == "Plain words stand in this text.\nThe last words of it.", close
+
+
+#: Pages of shapes that are not among the labelled ones, and their text by hand.
+UNSEEN = [
+    ('<html><head><title>x</title><script>if (a<b) {}</script></head><body><div class="top-nav"><a href="/">Start</a> | <a href="/n">News</a></div><main id="main-content"><h1>On bridges</h1><p>A bridge spans what a road cannot.</p><p>The oldest are of <em>stone</em>.</p><aside class="related"><h4>Read also</h4><a href="/t">Tunnels</a></aside><p>Steel came later &ndash; and wire.</p></main><div class="comments"><p>Great read!</p></div><footer><p>Imprint</p></footer></body></html>', "On bridges\nA bridge spans what a road cannot.\nThe oldest are of stone.\nSteel came later – and wire."),
+    ("<body><table class=layout><tr><td class=sidebar><a href=/>Home</a><a href=/b>Blog</a></td><td class=content><h2>Frost</h2><p>Water swells as it freezes, and pipes burst.</p><blockquote>So drain them, said the smith.</blockquote></td></tr></table><div class=cookie-consent>This site uses cookies</div></body>", "Frost\nWater swells as it freezes, and pipes burst.\nSo drain them, said the smith."),
+    ("<body><header><h1>Site</h1></header><article class='post entry'><h1>Yeast</h1><p>It lives on sugar<br>and makes the dough rise.</p><pre>flour\n  water</pre><form><input><button>Send</button></form><ol><li>Mix it<li>Wait for an hour</ol></article><section id=disqus class=comments><div class=comment><p>Mine failed</p></div></section></body>", "Yeast\nIt lives on sugar and makes the dough rise.\nflour water\nMix it\nWait for an hour"),
+]
+
+
+@pytest.mark.parametrize("page, want", UNSEEN)
+def test_unseen_pages(page, want):
+    assert text(page) == want
+
+
+def test_query(spark, tmp_path):
+    from engrama.llm import queries
+
+    made = [*UNSEEN, (None, ""), ("", ""), ("<div>" * 30_000 + "</b>" * 30_000, "")]
+    rows = [(i, f"http://h/{i}", h, 1, "x") for i, (h, _) in enumerate(made)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in queries.op6_html(spark, str(tmp_path)).collect())
+    assert got == [(i, f"http://h/{i}", want, len(want)) for i, (_, want) in enumerate(made)]
