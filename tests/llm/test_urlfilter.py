@@ -1,3 +1,9 @@
+import math
+import os
+import zlib
+
+import pytest
+
 from engrama.llm import urlfilter
 from engrama.llm.queries import RULES
 
@@ -50,3 +56,54 @@ def test_empty_and_repeated(spark):
     out = urlfilter.judge(pages).collect()
     assert len(out) == 3 and out[0] == out[1]
     assert urlfilter.train([]).probability("x", "/") < 0.5
+
+
+def test_held_out_by_host():
+    """Each eighth of the hosts is judged by a model that never saw them."""
+    hosts = sorted({urlfilter.split_url(u)[0] for u, _ in urlfilter.LABELLED})
+    fold = {h: zlib.crc32(h.encode()) % 8 for h in hosts}
+    right = {0: 0, 1: 0}
+    for f in range(8):
+        m = urlfilter.train([r for r in urlfilter.LABELLED if fold[urlfilter.split_url(r[0])[0]] != f])
+        for u, y in urlfilter.LABELLED:
+            h, p = urlfilter.split_url(u)
+            if fold[h] == f:
+                right[y] += (m.probability(h, p) >= 0.5) == bool(y)
+    n = [sum(y == v for _, y in urlfilter.LABELLED) for v in (0, 1)]
+    assert right[0] / n[0] > 0.8 and right[1] / n[1] > 0.4
+
+
+def test_no_host_of_the_pages_is_listed():
+    import duckdb
+
+    listed = {urlfilter.split_url(u)[0] for u, _ in urlfilter.LABELLED}
+    name = lambda h: h.split(".example.")[0].rpartition(".")[2]
+    names = {name(h) for h in listed if ".example." in h}
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        path = f"/root/testdata/{size}/pages.parquet"
+        if os.path.exists(path):
+            for (u,) in duckdb.sql(f"SELECT url FROM '{path}' WHERE url IS NOT NULL").fetchall():
+                h = urlfilter.split_url(u)[0]
+                assert h not in listed and name(h) not in names or ".example." not in h, h
+
+
+def test_query(spark, tmp_path):
+    """Every row against rules and a sum over n-grams, written plainly; also a url of a megabyte."""
+    from engrama.llm import queries
+
+    urls = [*(c[0] for c in CASES), *(u for u, _ in urlfilter.LABELLED), "https://lucky-casino.example.org/fr/1", "http://x.example.net/" + "long-path/" * 100_000, "http://" + "h" * 100_000]
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    m = urlfilter.train()
+    out = {r["page_id"]: r for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert len(out) == len(urls)
+    for i, u in enumerate(urls):
+        host, path = urlfilter.split_url(u)
+        rule, verdict = brute_rule(host, path)
+        raw = m.bias
+        for mark, part, share in (("h", f"^{host}$", 1.0), ("p", f"^{path}$", urlfilter.PATH_SHARE)) if host or path else ():
+            grams = {zlib.crc32((mark + part[j : j + n]).encode()) % len(m.weights) for n in (3, 4, 5) for j in range(len(part) - n + 1)}
+            raw += sum(m.weights[g] for g in grams) * share / max(1, len(grams)) ** 0.5
+        p = 1 / (1 + math.exp(-raw))
+        r = out[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["probability"] == pytest.approx(p)
+        assert r["verdict"] == (verdict or ("block" if p >= 0.5 else "allow"))
