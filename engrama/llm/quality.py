@@ -1,15 +1,16 @@
 """Quality rules: divergence of a document from its language.
 
-A first pass sums character-class and common-word histograms per language over all documents that are long
-enough; these are the references, a few dozen numbers per language of ``common``, others pooled. A second
-pass compares each document with the reference of its language by Jensen-Shannon distance (base 2, from 0 to 1) and
-rejects it beyond a limit. Histograms of short texts scatter: the squared distance of n counts in k bins from their source is about
+Each language of ``common`` has a reference: shares of character classes, and shares of its common words, which follow from their order by
+Zipf's law. References are fixed values, so a document's verdict never depends on its neighbours; ``references`` fits others
+from trusted text. A document is compared with the reference of its language by Jensen-Shannon distance (base 2, from 0 to 1) and
+rejected beyond a limit. Histograms of short texts scatter: the squared distance of n counts in k bins from their source is about
 a chi-square of k - 1 degrees over 8 n ln 2, of which its mean and three deviations are allowed beside the limit; the class histogram is judged from ``least_chars``
 word characters on, the word histogram from ``least_words`` words on; shorter documents pass that rule.
-Both passes are maps: no row is shuffled.
+One map: no row is shuffled, nothing is gathered.
 
-Defined results: null text has no word and fails the base rules; a null language is one of the pooled others; repeated rows
-are judged alike; an empty table gives an empty result; keys and other columns play no part.
+Defined results: null text has no word and fails the base rules; where the language is null or has no reference, no word is common, and all
+letters are one class, whatever their script; repeated rows are judged alike; an empty table gives an empty result; keys and other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, unused
 
-#: Common words of each language; a parameter.
+#: Common words of each language, the most frequent first; a parameter.
 COMMON = {
     "en": "the of and to in is that it for was on are as with be this by from at have or an not he which but they his had all we one can there been if more when will would".split(),
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er so dass kann wir hat aus bei sind nach wird einer um am noch wie einem".split(),
@@ -35,6 +36,34 @@ COMMON = {
 OTHER = "*"
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "other", "beyond")
 SYMBOLS = b"#*$%&|<>"
+#: Shares of the classes in ordinary text of a language, in the order of ``CLASSES``.
+CLASS_SHARES = {
+    "en": (0.79, 0.025, 0.005, 0.165, 0.025, 0.0005, 0.0005, 0.0005),
+    "de": (0.77, 0.05, 0.005, 0.14, 0.025, 0.0005, 0.0005, 0.015),
+    "fr": (0.76, 0.025, 0.005, 0.165, 0.025, 0.0005, 0.0005, 0.03),
+    "es": (0.77, 0.025, 0.005, 0.165, 0.025, 0.0005, 0.0005, 0.025),
+}
+#: Of the words of ordinary text, the share that the listed common words make up.
+COMMON_SHARE = 0.35
+LETTERS = [CLASSES.index(c) for c in ("lower", "upper", "beyond")]
+
+
+def word_shares(n: int, share: float = COMMON_SHARE) -> np.ndarray:
+    """Shares of ``n`` common words by Zipf's law, then of all others."""
+    z = 1 / (np.arange(n) + 2.0)
+    return np.append(share * z / z.sum(), 1 - share) if n else np.ones(1)
+
+
+def folded(by_class: np.ndarray) -> np.ndarray:
+    """A class histogram with all letters as one class."""
+    return np.append(np.delete(by_class, LETTERS), by_class[LETTERS].sum())
+
+
+def fixed_references(common: dict[str, list[str]] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language: class and word shares; a language without class shares, and any not in ``common``, is judged by letters as one class."""
+    common = COMMON if common is None else common
+    out = {k: (np.array(CLASS_SHARES[k]), word_shares(len(v))) for k, v in common.items() if k in CLASS_SHARES}
+    return out | {OTHER: (folded(np.mean(list(CLASS_SHARES.values()), axis=0)), np.ones(1))}
 
 
 def _class_table() -> np.ndarray:
@@ -105,7 +134,7 @@ def _encoded(common: dict[str, list[str]]) -> dict[str, list[bytes]]:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON, least_words: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language: class and word histogram of all documents of at least ``least_words`` words, each document weighing 1."""
+    """References fitted from trusted documents of at least ``least_words`` words, each weighing 1; languages without any keep the fixed ones."""
     lists = _encoded(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,41 +153,56 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.float64()], strict=True)], ["lang", "kind", "i", "value"])
 
     summed = docs.select(text_or_empty(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l")).mapInArrow(run, "lang string, kind int, i int, value double")
-    out = {k: (np.zeros(len(CLASSES)), np.zeros(len(v) + 1)) for k, v in lists.items()}
+    sums = {k: (np.zeros(len(CLASSES)), np.zeros(len(v) + 1)) for k, v in lists.items()}
     for r in summed.groupBy("lang", "kind", "i").agg(F.sum("value").alias("value")).collect():  # languages times bins
-        out[r["lang"]][r["kind"]][r["i"]] = r["value"]
+        sums[r["lang"]][r["kind"]][r["i"]] = r["value"]
+    out = fixed_references(common)
+    for k, (by_class, by_word) in sums.items():
+        if by_class.sum():  # to six digits: whatever the order of the sums
+            by_class = folded(by_class) if k == OTHER else by_class
+            out[k] = tuple(np.round(h / h.sum(), 6) for h in (by_class, by_word))
     return out
 
 
 VERDICT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
 
-def judge(raw: bytes, language: str, reference: tuple[np.ndarray, np.ndarray], common: list[bytes], limits: tuple[float, float], least_chars: int, least_words: int) -> tuple:
+def judge(raw: bytes, reference: tuple[np.ndarray, np.ndarray], common: list[bytes], limits: tuple[float, float], least_chars: int, least_words: int) -> tuple:
     by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = raw.split()
     chars, symbols, lines, repeats = base_counts(raw, by_byte, words)
     failed = len(words) < 50 or 100 * repeats > 50 * len(words)
     by_class = by_word = None
-    if chars >= least_chars and reference[0].sum():
-        by_class = distance(class_histogram(by_byte), reference[0])
-    if len(words) >= least_words and common and reference[1].sum():
+    bins = len(reference[0])
+    if chars >= least_chars:
+        found = class_histogram(by_byte)
+        by_class = distance(found if bins == len(CLASSES) else folded(found), reference[0])
+    if len(words) >= least_words and common:
         by_word = distance(word_histogram(raw, common), reference[1])
-    kept = not failed and (by_class is None or by_class <= allowed(limits[0], len(CLASSES), chars)) and (by_word is None or by_word <= allowed(limits[1], len(common) + 1, len(words)))
+    kept = not failed and (by_class is None or by_class <= allowed(limits[0], bins, chars)) and (by_word is None or by_word <= allowed(limits[1], len(common) + 1, len(words)))
     return len(words), chars, symbols, lines, repeats, failed, by_class, by_word, kept
 
 
-def with_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON, limits: tuple[float, float] = (0.24, 0.16), least_chars: int = 200, least_words: int = 100) -> DataFrame:
-    """``docs`` (all columns) with ``__quality``, a struct of counts, distances and the verdict ``kept``."""
-    known, lists = references(docs, text, lang, common), _encoded(common)
+#: Class and word distance beyond which a document is rejected.
+LIMITS = (0.22, 0.33)
+
+
+def with_verdict(docs: DataFrame, text: str = "text", lang: str = "lang", common: dict[str, list[str]] = COMMON, limits: tuple[float, float] = LIMITS, least_chars: int = 200, least_words: int = 100, known: dict | None = None, name: str = "__quality") -> DataFrame:
+    """``docs`` (all columns) with ``name``, a struct of counts, distances and the verdict ``kept``. ``known``: references, by default the fixed ones."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}; give another name")
+    known, lists = known or fixed_references(common), _encoded(common)
 
     @F.pandas_udf(VERDICT)
     def run(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        rows = [judge(bytes(t), k, known[k], lists[k], limits, least_chars, least_words) for t, k in zip(texts, (_language(x, common) for x in languages), strict=True)]
+        named = (x if x in known else OTHER for x in languages)
+        rows = [judge(bytes(t), known[k], lists[k], limits, least_chars, least_words) for t, k in zip(texts, named, strict=True)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in VERDICT.split(", ")])
 
-    return docs.withColumn("__quality", run(text_or_empty(text).cast("binary"), F.col(lang).cast("string")))
+    return docs.withColumn(name, run(text_or_empty(text).cast("binary"), F.col(lang).cast("string")))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that pass."""
-    return with_verdict(docs, **options).filter("__quality.kept").select(*docs.columns)
+    (name,) = unused(docs.columns, "__quality")
+    return with_verdict(docs, name=name, **options).filter(f"`{name}`.kept").select(*docs.columns)

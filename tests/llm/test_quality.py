@@ -87,3 +87,69 @@ def test_odd_rows(spark):
     assert out.count() == docs.count() and out.columns == [*docs.columns, "__quality"]
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.keep_good(docs.limit(0)).collect() == []
+
+
+def brute_kept(text, lang):
+    """The verdict written plainly, character by character and word by word."""
+    n_words, chars, *_, failed = brute_base(text)
+    if failed:
+        return False
+    table = {"lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "blank": BLANKS, "stop": ".,;:!?'\"-()", "symbol": "#*$%&|<>"}
+    table["upper"] = table["lower"].upper()
+    counts = Counter(next((k for k, v in table.items() if c in v), "beyond" if ord(c) > 127 else "other") for c in text)
+    by_class = [counts[k] for k in quality.CLASSES]
+    reference = quality.CLASS_SHARES.get(lang)
+    if reference is None:
+        pooled = np.mean(list(quality.CLASS_SHARES.values()), axis=0)
+        at = {k: i for i, k in enumerate(quality.CLASSES)}
+        keep = ["digit", "blank", "stop", "symbol", "other"]
+        letters = ["lower", "upper", "beyond"]
+        reference = [pooled[at[k]] for k in keep] + [sum(pooled[at[k]] for k in letters)]
+        by_class = [counts[k] for k in keep] + [sum(counts[k] for k in letters)]
+    slack = lambda bins, n: (bins - 1 + 3 * (2 * (bins - 1)) ** 0.5) / (8 * n * np.log(2))
+    if chars >= 200 and brute_distance(by_class, reference) ** 2 > 0.22**2 + slack(len(reference), chars):
+        return False
+    common = quality.COMMON.get(lang, [])
+    if n_words >= 100 and common:
+        found = Counter("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in split(text))
+        hits = [found[w] for w in common]
+        zipf = [1 / (r + 2) for r in range(len(common))]
+        shares = [0.35 * z / sum(zipf) for z in zipf] + [0.65]
+        if brute_distance([*hits, n_words - sum(hits)], shares) ** 2 > 0.33**2 + slack(len(shares), n_words):
+            return False
+    return True
+
+
+def test_query(spark, tmp_path):
+    from engrama.llm import queries
+
+    rng = random.Random(21)
+    texts = [*made(), prose(rng, 40_000), "слово и ещё одно " * 3, " ".join(f"слово{i} и ещё" for i in range(90)), " | ".join(prose(rng, 300).split())]
+    texts += [" ".join(w + "#*%&"[i % 4] * 3 for i, w in enumerate(prose(rng, 200).split()))]
+    rows = docs_of(spark, texts * 2)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    langs = {r["doc_id"]: (r["text"], r["lang"]) for r in rows.collect()}
+    out = queries.op5_quality(spark, str(tmp_path)).collect()
+    assert len(out) == len(texts) * 2
+    verdicts = {brute_kept(*langs[r["doc_id"]]) for r in out}
+    for r in out:
+        assert r["kept"] == brute_kept(*langs[r["doc_id"]]), r["doc_id"]
+    assert verdicts == {True, False}
+
+
+def test_a_verdict_does_not_depend_on_neighbours(spark):
+    rng = random.Random(5)
+    docs = docs_of(spark, [prose(rng, 200) for _ in range(4)] + [" ".join("#$%|" for _ in range(200 + i)) for i in range(40)]).selectExpr("doc_id", "text", "'en' AS lang", "1 AS __quality")
+    kept = [r["doc_id"] for r in quality.keep_good(docs).collect()]
+    assert sorted(kept) == [0, 1, 2, 3] and quality.keep_good(docs).columns == docs.columns
+    with pytest.raises(ValueError):
+        quality.with_verdict(docs)
+
+
+def test_fitted_references(spark):
+    rng = random.Random(6)
+    trusted = docs_of(spark, [prose(rng, 300) for _ in range(8)]).selectExpr("text", "'en' AS lang")
+    known = quality.references(trusted)
+    assert known["en"][1][-1] == pytest.approx(0.6, abs=0.05) and known["de"][1][-1] == pytest.approx(0.65)
+    docs = docs_of(spark, [prose(rng, 300)]).selectExpr("text", "'en' AS lang")
+    assert quality.keep_good(docs, known=known, limits=(0.05, 0.05)).count() == 1 and quality.keep_good(docs, limits=(0.05, 0.05)).count() == 0
