@@ -35,8 +35,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = linededup.keep_bitmaps(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    dropped = F.coalesce(F.aggregate(F.map_values("__dropped"), F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)), F.lit(0).cast("long"))
-    kept = F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(linededup.kept_lines(), "\n"))
+    dropped = F.coalesce(F.aggregate(F.map_values("__kept"), F.lit(0).cast("long"), lambda a, w: a + 64 - F.bit_count(w)), F.lit(0).cast("long"))
+    kept = F.when(F.col("__kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(linededup.kept_lines(), "\n"))
     return marked.select("doc_id", n.alias("n_lines"), dropped.alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))
 
 

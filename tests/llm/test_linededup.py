@@ -64,3 +64,21 @@ def test_odd_keys(spark):
     assert sorted(got, key=repr) == sorted([(5, line), (5, line), (5, line + "\nx"), (3, None), (7, "")], key=repr)
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
     assert linededup.dedup_lines(with_odd_keys(spark, corpus(n=5))).count() == 5 + 11 + 3
+
+
+def test_bitmaps_keep(spark):
+    """Bit p of word w says whether line 64 w + p stays; absent words are all ones."""
+    made = texts()
+    want = brute(list(enumerate(made)))
+    for r in linededup.keep_bitmaps(docs_of(spark, made)).collect():
+        lines, words = (r["text"] or "").split("\n"), r["__kept"] or {}
+        stay = [x for p, x in enumerate(lines) if words.get(p // 64, -1) >> p % 64 & 1]
+        assert "\n".join(stay) == want[r["doc_id"]] and all(w != -1 for w in words.values())
+
+
+def test_clashing_names(spark):
+    names = ["__kept", "__id", "__row", "__kept_", "range", "h", "words", "first"]
+    docs = spark.createDataFrame([(i, "a shared line of text\nown", *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    out = linededup.dedup_lines(docs).collect()
+    assert out[0].__fields__ == docs.columns and sorted((r["doc_id"], r["text"]) for r in out) == [(0, "a shared line of text\nown"), (1, "own"), (2, "own")]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in out)
