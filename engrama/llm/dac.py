@@ -5,12 +5,12 @@ level k the k-th chunk of those ids that have one; each level but the last has a
 an id goes on, and a rank directory (ones before every 512th bit). Any id is found by as many rank
 steps as it has chunks, without decoding its neighbours.
 
-File (all little-endian): magic ``DACT``, version u16, width u8, levels u8, documents u64, ids u64;
-document keys i64[n], document starts u64[n + 1]; then per level: entries u64, chunks, bitmap bytes
+File (all little-endian): magic ``DACT``, version u16, width u8, levels u8, documents u64, ids u64, documents without a key u64 (they come
+first); document keys i64[n], document starts u64[n + 1]; then per level: entries u64, chunks, bitmap bytes
 (a multiple of 64), directory u64[]. Chunks are whole bytes: width is 8 or 16.
 
-Defined results: null text is empty (its end id alone is stored); null keys sort first and are stored as the
-smallest integer; repeated rows are stored each, in the order of (key, text hash); an empty table gives no file and no row.
+Defined results: null text is empty (its end id alone is stored); null keys sort first and
+are counted in the head; repeated rows are stored each, in the order of (key, text hash); an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, shuffle_partitions, text_or_empty
 from .tokens import encoder, vocabulary_path
 
-MAGIC, VERSION, BLOCK = b"DACT", 1, 512
-NO_KEY = -(2**63)
-_HEAD = struct.Struct("<4sHBBQQ")
+MAGIC, VERSION, BLOCK = b"DACT", 2, 512
+_HEAD = struct.Struct("<4sHBBQQQ")
 
 
 def encode_levels(ids: np.ndarray, width: int = 8) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -58,9 +57,12 @@ def rank_directory(bits: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(ones, dtype=np.uint64)]).astype("<u8")
 
 
-def to_bytes(keys: list[int], starts: list[int], ids: np.ndarray, width: int = 8) -> bytes:
+def to_bytes(keys: list[int | None], starts: list[int], ids: np.ndarray, width: int = 8) -> bytes:
     levels = encode_levels(ids, width)
-    parts = [_HEAD.pack(MAGIC, VERSION, width, len(levels), len(keys), len(ids)), np.array(keys, "<i8").tobytes(), np.array([*starts, len(ids)], "<u8").tobytes()]
+    unnamed = keys.count(None)
+    if None in keys[unnamed:]:
+        raise ValueError("documents without a key come first")
+    parts = [_HEAD.pack(MAGIC, VERSION, width, len(levels), len(keys), len(ids), unnamed), np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([*starts, len(ids)], "<u8").tobytes()]
     for chunks, bits, directory in levels:
         parts += [struct.pack("<QQQ", len(chunks), len(bits), len(directory)), chunks.tobytes(), bits.tobytes(), directory.tobytes()]
     return b"".join(parts)
@@ -70,7 +72,7 @@ class Reader:
     """Random access to a file's ids and documents; arrays are views of ``raw``."""
 
     def __init__(self, raw: bytes):
-        magic, version, self.width, levels, n, self.n_ids = _HEAD.unpack_from(raw)
+        magic, version, self.width, levels, n, self.n_ids, self.unnamed = _HEAD.unpack_from(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a file of directly addressable codes")
         at = _HEAD.size
@@ -170,7 +172,7 @@ def write(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: s
                     ids += end
                     if keys and total + len(ids) // 4 > file_ids:
                         yield flush()
-                    keys.append(NO_KEY if k is None else k)
+                    keys.append(k)
                     starts.append(total)
                     held.append(ids)
                     total += len(ids) // 4
@@ -200,7 +202,7 @@ def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                 store, place = _filesystem(name)
                 with store.open_input_file(place) as f:
                     reader = Reader(f.read())
-                keys = [None if k == NO_KEY else k for k in reader.keys.tolist()]
+                keys = [None] * reader.unnamed + reader.keys[reader.unnamed :].tolist()
                 bounds = reader.starts.astype(np.int64)
                 step = 2_000_000
                 at = 0

@@ -10,7 +10,8 @@
    pieces share is dealt to many tasks) and from that its sequence and offset.
 
 Defined results: null text counts as empty (a lone end id); repeated rows are packed each; rows with a null
-key are packed like any other; an empty table gives an empty result; other columns are ignored.
+key are packed like any other; an empty table gives an empty result; other columns, whatever their names, are ignored by
+``pack_documents`` and kept by ``pack``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, shuffle_partitions, text_or_empty, unused
 from .tokens import encoder, vocabulary_path
 
 PIECES = "{key} bigint, piece int, start bigint, length bigint, ids binary"
@@ -105,7 +106,7 @@ def _greedy(counts: np.ndarray, capacity: int) -> dict[int, int]:
 
 
 def _two_best(counts: np.ndarray, taken: dict[int, int], gap: int) -> tuple[int, int] | None:
-    """The two unpacked lengths with the largest sum up to ``gap``."""
+    """The two unpacked lengths with the largest sum up to ``gap``; of equal sums the pair with the shortest member."""
     left = counts.copy()
     for size, n in taken.items():
         left[size] -= n
@@ -162,22 +163,24 @@ def best_two_fit(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(*columns, bins=bins)
 
 
-def pack(pieces: DataFrame, length: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), salts: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` needs ``length`` and must not change when read again.
 
-    ``salts``: into so many groups the pieces of one length are dealt before they are ranked.
+    ``salts``: into so many groups the pieces of one length are dealt before they are ranked; as many as shuffle partitions, 64 at least.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    groups = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    salts = salts or max(64, shuffle_partitions(spark))
+    salt, rank, n, earlier = unused(pieces.columns, "__salt", "__rank", "__n", "__before")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
+    groups = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias(n))
     counted = materialize(groups, "packing-groups")  # at most length * salts rows
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `length` rows
+    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum(n).alias("n")).collect()}  # at most `length` rows
     plan = spark.sparkContext.broadcast(best_two_fit(histogram, length))
-    before = counted.withColumn("__before", F.sum("__n").over(W.partitionBy("length").orderBy("__salt")) - F.col("__n")).drop("__n")
-    rank = F.row_number().over(W.partitionBy("length", "__salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("__rank", rank.cast("long")).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    before = counted.withColumn(earlier, F.sum(n).over(W.partitionBy("length").orderBy(salt)) - F.col(n)).drop(n)
+    inside = F.row_number().over(W.partitionBy("length", salt).orderBy(*order)) - 1
+    ranked = salted.withColumn(rank, inside.cast("long")).join(before, ["length", salt]).withColumn(rank, F.col(rank) + F.col(earlier))
     names = pieces.columns
-    ranked = ranked.select(*names, "__rank")
+    ranked = ranked.select(*names, rank)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,16 +1,18 @@
 """SimHash near-duplicates, found exactly: numpy exclusive-or and bit counts over tiles of fingerprints.
 
 Fingerprints within ``radius`` bits agree on at least ``bands - radius`` of ``bands`` bit ranges, so every
-linked pair meets under some choice of that many bands. Under each choice, distinct fingerprints are
+linked pair meets under some choice of that many bands. The more distinct fingerprints there are, the more bands are taken, so that runs of
+agreeing fingerprints stay short; the links are the same. Under each choice, distinct fingerprints are
 range-partitioned and sorted by (agreeing bits, population count); runs of equal agreeing bits are compared in
 tiles of at most ``tile`` fingerprints, and tile pairs whose population counts differ by more than the
-radius are skipped. A run of any size is dealt out by range; only whole tiles (packed binaries) meet
-in a join. A tile pair gives a spanning forest of its links, never all pairs. Components of links come from
-alternating star contractions on tables in the shared folder.
+radius are skipped. Runs of up to 16 fingerprints are compared many at once, without tiles, by their distance in the sorted order. A run of any
+size is dealt out by range; its tiles are paired by their numbers, the pairs dealt to all tasks, and only then the tiles (packed binaries) fetched.
+A tile pair gives a spanning forest of its links, never all pairs. Components of links come from
+alternating star contractions on tables in the shared folder; the few centres that hold over a thousandth of all links are joined by broadcast.
 
 Defined results: a text without words has fingerprint zero and is linked like any other; null text is such a text; copies
 share a class; rows with a null id count in links but never name a component (null if no member has an id);
-an empty table gives an empty result.
+an empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_or_empty
+from .common import materialize, shuffle_partitions, text_or_empty, unused
 
 
 def shingle_hashes(raw: bytes, width: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
@@ -76,6 +78,15 @@ def band_choices(radius: int, bands: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in itertools.combinations(cuts, bands - radius)]
 
 
+def bands_for(distinct: int, radius: int) -> int:
+    """Bands for so many fingerprints: enough agreeing bits that random ones rarely agree, few choices otherwise."""
+    wanted = max(1, distinct).bit_length() - 3
+    agreeing = 2
+    while 64 * agreeing // (radius + agreeing) < wanted and agreeing < 60 - radius:
+        agreeing += 1
+    return radius + agreeing
+
+
 def _keyed(distinct: DataFrame, radius: int, bands: int) -> DataFrame:
     keys = []
     for number, choice in enumerate(band_choices(radius, bands)):
@@ -166,6 +177,10 @@ class _Tiler:
         return pa.RecordBatch.from_arrays(arrays, ["u", "v", "choice", "bits", "tile", "low", "high", "prints"])
 
 
+#: Parts of a run's tiles that are paired apart.
+SALTS = 16
+
+
 def links(distinct: DataFrame, radius: int = 4, bands: int = 6, tile: int = 1024) -> DataFrame:
     """Links (u, v) that connect just the fingerprints within ``radius`` bits of each other. ``distinct``: no fingerprint twice."""
 
@@ -214,45 +229,61 @@ def links(distinct: DataFrame, radius: int = 4, bands: int = 6, tile: int = 1024
     order = ["choice", "bits", "ones", "fingerprint"]
     dealt = keyed.repartitionByRange(shuffle_partitions(distinct.sparkSession), *order).sortWithinPartitions(*order)
     built = materialize(dealt.mapInArrow(build, "u bigint, v bigint, choice int, bits bigint, tile bigint, low int, high int, prints binary"), "simhash-tiles")
-    tiles = built.filter("tile IS NOT NULL").select("choice", "bits", "tile", "low", "high", "prints")
-    a, b = tiles.alias("a"), tiles.alias("b")
-    near = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.tile") < F.col("b.tile"))
+    tiles = built.filter("tile IS NOT NULL")
+    numbers = tiles.select("choice", "bits", "tile", "low", "high", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).alias("salt"))
+    a, b = numbers.alias("a"), numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("b")
+    near = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.tile") < F.col("b.tile"))
     near &= (F.col("b.low") - F.col("a.high") <= radius) & (F.col("a.low") - F.col("b.high") <= radius)
-    pairs = a.join(b, near).select(F.col("a.prints").alias("p"), F.col("b.prints").alias("q"), F.xxhash64("a.tile", "b.tile").alias("at"))
-    crossing = pairs.repartition(shuffle_partitions(distinct.sparkSession), "at").select("p", "q").mapInArrow(meet, "u bigint, v bigint")
+    pairs = a.join(b, near).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"))
+    of = lambda x, y: tiles.select(F.col("tile").alias(x), F.col("prints").alias(y))
+    crossing = pairs.join(of("a", "p"), "a").join(of("b", "q"), "b").select("p", "q").mapInArrow(meet, "u bigint, v bigint")
     return built.filter("u IS NOT NULL").select("u", "v").unionByName(crossing).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _with_least(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``pairs`` (u, v) with ``low`` of ``least`` (at, low, n) for u; ``total`` bounds the number of pairs.
+
+    Nodes with more than a thousandth of the pairs are at most a thousand: they are broadcast, so that none of them fills a task.
+    """
+    most = max(100, total // 1000)
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("at", "low"))
+    others = least.filter(F.col("n") <= most).select("at", "low")
+    busy = pairs.join(hubs, pairs["u"] == hubs["at"])
+    rest = pairs.join(hubs.select("at"), pairs["u"] == hubs["at"], "left_anti")
+    return busy.unionByName(rest.join(others, rest["u"] == others["at"])).drop("at")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of every node with a link; root is the component's smallest node. Alternating large-star and small-star steps."""
     edges, before = materialize(edges, "links"), None
+    total = 2 * edges.count()
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("at"), F.least("u", "low").alias("low"))
-        large = both.join(low, both["u"] == low["at"]).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("at"), F.least("u", "low").alias("low"), "n")
+        large = _with_least(both, low, total).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = large.filter("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("at"), "low")
-        small = large.join(low, large["u"] == low["at"]).select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("at"), "low", "n")
+        small = _with_least(large, low, total).select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
         small = small.unionByName(low.select(F.col("at").alias("u"), F.col("low").alias("v"))).distinct()
         edges = materialize(small, "links")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, total = now, 2 * now[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _classes(prints: DataFrame, least: dict, radius: int, bands: int, tile: int) -> DataFrame:
+def _classes(prints: DataFrame, least: dict, radius: int, bands: int | None, tile: int) -> DataFrame:
     """(fingerprint, root, and the aggregates ``least``) of each fingerprint in ``prints``."""
     distinct = materialize(prints.groupBy("fingerprint").agg(*(c.alias(n) for n, c in least.items())), "distinct-fingerprints")
-    roots = components(links(distinct.select("fingerprint"), radius, bands, tile))
+    roots = components(links(distinct.select("fingerprint"), radius, bands or bands_for(distinct.count(), radius), tile))
     return distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 6, tile: int = 1024) -> DataFrame:
-    """(key, fingerprint as 16 hex digits, component_id: the smallest key that links lead to, its own included)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int | None = None, tile: int = 1024) -> DataFrame:
+    """(key, fingerprint as 16 hex digits, component_id: the smallest key that links lead to, its own included). ``bands``: by the number of fingerprints."""
     prints = materialize(fingerprints(docs, key, text, width, seed), "fingerprints")
     classes = _classes(prints, {"least": F.min(key)}, radius, bands, tile)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -260,19 +291,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return prints.join(classes, "fingerprint", "left").select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int = 6, tile: int = 1024) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4, bands: int | None = None, tile: int = 1024) -> DataFrame:
     """One row of each component stays: that of the smallest key (of rows that share it, the one with the smallest text hash).
 
     A row is known by key and text hash, so that rows of one key but different texts stay or go by their own components.
     Rows with a null key are dealt with among themselves: one of each component stays, that of the smallest text hash.
     """
-    prints = materialize(fingerprints(docs, key, text, width, seed, text_hash="__text"), "fingerprints")
-    named = F.col(key).isNotNull()
-    least = {"named": F.min(F.when(named, F.struct(F.col(key).alias("key"), F.col("__text").alias("text")))), "unnamed": F.min(F.when(~named, F.col("__text")))}
+    hashed, stay_key, stay, nth = unused([*docs.columns, "fingerprint"], "__text", "__key", "__stay", "__nth")
+    prints = materialize(fingerprints(docs, key, text, width, seed, text_hash=hashed), "fingerprints")
+    is_named = F.col(key).isNotNull()
+    least = {"named": F.min(F.when(is_named, F.struct(F.col(key).alias("key"), F.col(hashed).alias("text")))), "unnamed": F.min(F.when(~is_named, F.col(hashed)))}
     first = _classes(prints, least, radius, bands, tile).groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
-    stay = first.select(F.explode(F.array("named", F.when(F.col("unnamed").isNotNull(), F.struct(F.lit(None).cast("long").alias("key"), F.col("unnamed").alias("text"))))).alias("s"))
-    stay = stay.filter("s IS NOT NULL").select(F.col("s.key").alias("__key"), F.col("s.text").alias("__stay"))
-    hashed = docs.withColumn("__text", F.xxhash64(text))
-    kept = hashed.join(stay, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__stay")))
-    nth = F.row_number().over(W.partitionBy(key, "__text").orderBy("__text"))
-    return kept.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    chosen = first.select(F.explode(F.array("named", F.when(F.col("unnamed").isNotNull(), F.struct(F.lit(None).cast("long").alias("key"), F.col("unnamed").alias("text"))))).alias("s"))
+    chosen = chosen.filter("s IS NOT NULL").select(F.col("s.key").alias(stay_key), F.col("s.text").alias(stay))
+    kept = docs.withColumn(hashed, F.xxhash64(text)).join(chosen, F.col(key).eqNullSafe(F.col(stay_key)) & (F.col(hashed) == F.col(stay)))
+    number = F.row_number().over(W.partitionBy(key, hashed).orderBy(hashed))
+    return kept.withColumn(nth, number).filter(f"`{nth}` = 1").select(*docs.columns)

@@ -66,3 +66,9 @@ def test_odd_rows(spark):
     spans = sorted((r["start"], r["n_tokens"]) for r in got)
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
     assert dac.read(dac.write(docs.limit(0))).collect() == []
+
+
+def test_smallest_key_and_none(spark, tmp_path):
+    docs = spark.createDataFrame([(-(2**63), "a b"), (None, "c"), (None, None), (0, "d")], "doc_id long, text string")
+    got = dac.read(dac.write(docs, f"file://{tmp_path}/t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), 0]

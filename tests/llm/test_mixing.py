@@ -84,3 +84,37 @@ def test_sql_gives_the_same(spark, tmp_path):
     want = con.sql(queries.mixing_sql())
     got = queries.op7_mixing(spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_in_parts_as_in_one(spark):
+    rng = random.Random(9)
+    cells = [(f"s{a}" if a else None, f"l{b}", f"t{c}", rng.choice([0, 5, 100, 4000, 90_000])) for a in range(7) for b in range(3) for c in range(2)]
+    rows = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": 0.5, "lang": {"l0": 0.5, "*": 0.2}, "topic": 0.9}
+    as_dict = lambda df: {tuple(r[:3]): (r["weight"], r["probability"]) for r in df.collect()}
+    one, parts = mixing.rake(rows, targets, 0.3, 4), mixing.rake(rows, targets, 0.3, 4, few=3)
+    want = as_dict(one)
+    assert len(want) == len(cells)
+    for k, v in as_dict(parts).items():
+        assert v == pytest.approx(want[k], abs=1e-12)
+    assert as_dict(mixing.rake(rows.limit(0), targets, 0.3, 2, few=-1)) == {}
+
+
+def test_marginals_are_reported(spark):
+    cells = [("a", "x", "t", 900), ("a", "y", "t", 40), ("b", "x", "t", 50), ("b", "y", "t", 50)]
+    rows = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"*": 1.0}}
+    got = {(r["dimension"], r["value"]): (r["target"], r["weight"]) for r in mixing.marginals(mixing.rake(rows, targets, 0.01, 30), targets).collect()}
+    assert got["source", "a"] == pytest.approx((0.5, 0.5), abs=1e-6) and got["lang", "y"] == pytest.approx((0.5, 0.5), abs=1e-6)
+    short = {r["value"]: (r["target"], r["weight"]) for r in mixing.marginals(mixing.rake(rows, targets, 0.9, 30), targets).filter("dimension = 'source'").collect()}
+    assert short["b"][1] < short["b"][0]
+
+
+def test_clashing_names(spark):
+    names = [*mixing.NAMES, "tokens", "weight", "__all", "__tokens"]
+    docs = spark.createDataFrame([(i, "one two three", "en", "s", *range(len(names))) for i in range(40)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mix(docs, queries.TARGETS, 0.5)
+    assert out.columns == docs.columns and 0 < out.count() < 40
+    assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+    with pytest.raises(ValueError):
+        mixing.with_probability(docs, queries.TARGETS, 0.5)

@@ -104,3 +104,50 @@ def test_odd_rows_and_empty(spark):
     assert len([r for r in rows if r["piece"] == 0]) == docs.count()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
     assert packing.pack_documents(docs.limit(0), 128).collect() == []
+
+
+def brute_best_two_fit(lengths, capacity):
+    """One bin after the other: greedily, longest first; then the smallest gives way to the two that fill its gap best."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        bin_, rest, room = [], [], capacity
+        for n in left:
+            if n <= room:
+                bin_.append(n)
+                room -= n
+            else:
+                rest.append(n)
+        if room and len(bin_) > 1:
+            smallest = min(bin_)
+            pairs = [(-(a + b), min(a, b), max(a, b)) for i, a in enumerate(rest) for b in rest[i + 1 :] if smallest < a + b <= room + smallest]
+            if pairs:
+                _, a, b = min(pairs)
+                bin_.remove(smallest)
+                for n in (a, b):
+                    bin_.append(n)
+                    rest.remove(n)
+                rest.append(smallest)
+        bins.append(sorted(bin_))
+        left = sorted(rest, reverse=True)
+    return sorted(bins)
+
+
+def test_plan_equals_bin_by_bin_filling():
+    rng = random.Random(17)
+    for capacity in (7, 20, 100):
+        for _ in range(25):
+            lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 50))] + [rng.randrange(1, capacity + 1)] * rng.randrange(0, 40)
+            histogram = {n: lengths.count(n) for n in set(lengths)}
+            plan = packing.best_two_fit(histogram, capacity)
+            bins = {}
+            for n, k in histogram.items():
+                for b in plan.place(np.full(k, n), np.arange(k))[0].tolist():
+                    bins.setdefault(b, []).append(n)
+            assert sorted(map(sorted, bins.values())) == brute_best_two_fit(lengths, capacity)
+
+
+def test_clashing_names(spark):
+    names = ["__salt", "__rank", "__n", "__before"]
+    pieces = spark.createDataFrame([(i, 0, 3 + i % 4, *range(4)) for i in range(30)], "doc_id long, piece int, length long, " + ", ".join(f"{n} long" for n in names))
+    out = packing.pack(pieces, 10)
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"] and out.count() == 30

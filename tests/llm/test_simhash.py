@@ -95,3 +95,27 @@ def test_rows_that_share_a_key(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"], " ".join(r["text"].split())) for r in simhash.drop_near_duplicates(docs).collect()]
     assert sorted(kept, key=repr) == sorted([(1, a), (2, b), (2, c), (None, d)], key=repr)
+
+
+def test_bands_follow_the_number_of_fingerprints():
+    assert simhash.bands_for(0, 4) == simhash.bands_for(10**6, 4) == 6
+    found = [simhash.bands_for(10**n, 4) for n in range(13)]
+    assert found == sorted(found) and found[-1] > 6
+    for n, bands in enumerate(found):
+        agreeing = min(sum(w for _, w in c) for c in simhash.band_choices(4, bands))
+        assert 10**n / 2**agreeing < 64
+
+
+def test_hubs_in_components(spark):
+    """A star whose centre holds almost all links, beside other shapes."""
+    edges = [(i, 5) for i in range(1000, 2500)] + [(i + 1, i) for i in range(10, 40)] + [(3000, 5), (3000, 12)]
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(roots.values()) == {5} and len(roots) == 1500 + 31 + 2
+
+
+def test_clashing_names(spark):
+    names = ["__text", "__key", "__stay", "__nth", "fingerprint", "root", "least"]
+    docs = spark.createDataFrame([(i, f"some words {'of a text' * (i // 2)}", *range(len(names))) for i in range(6)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+    assert simhash.near_duplicates(docs).count() == 6
