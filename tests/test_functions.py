@@ -101,3 +101,14 @@ def test_embedding(spark):
     assert float(v @ embed("deploys failed")) > float(v @ embed("quarterly budget review"))
     df = spark.createDataFrame([("the deploy failed",)], "t string")
     assert np.allclose(df.select(hash_embed(F.col("t"))).first()[0], v)
+
+
+def test_entities_in_the_engine_as_outside(spark):
+    """Random words with marks, and runs of thousands of names."""
+    rng = random.Random(12)
+    parts = ["Dana", "Whitfield", "the", "The", "INC-90312", "API", "Q3", "É", "Éa", "x1", "deploy.", "Done!", "(Bob)", "E1234", "--", "...", "a", "THE", "Ünder", "ß9x", "New", "YORK", "mid-", "It"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(300)]
+    texts += [None, "", "  ", "Dana " * 30_000, "Dana\x0bBob Eve\x85Zoe", "!" * 20_000 + " Dana Bob", "\nStart Here now. Then go"]
+    df = spark.createDataFrame([(t, ["Tag", "y"] if i % 3 else None) for i, t in enumerate(texts)], "t string, g array<string>")
+    for r in df.select("t", "g", extract_entities(F.col("t"), F.col("g")).alias("e")).collect():
+        assert r["e"] == entities_of(r["t"], r["g"]), r["t"]
