@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import HOP_NEIGHBOURS, HOP_WEIGHT
+from .knn import CONSTRAINTS, blocks_of
+from .ranking import top_k
+from .termscan import Weights, best_rows_by_terms
 
 
 def mentions(records: DataFrame, key: str = "id") -> DataFrame:
@@ -42,8 +45,30 @@ def hops(query_entities: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def related(query_entities: DataFrame, records: DataFrame, hop: int | None = None) -> DataFrame:
-    """(qid, id, score): sums over query entities and hops, or over one hop only."""
+    """(qid, id, score) of all related records: sums over query entities and hops, or over one hop only."""
     weights = hops(query_entities, records)
     if hop is not None:
         weights = weights.filter(F.col("hop") == hop)
     return mentions(records).join(weights, "entity").groupBy("qid", "id").agg(F.sum("weight").alias("score"))
+
+
+def related_topk(query_entities: DataFrame, records: DataFrame, k: int, requests: DataFrame | None = None, hop: int | None = None, now: int | None = None, block: int = 4096) -> DataFrame:
+    """(qid, id, score, rank) of the k most related records; of those that meet a request, where ``requests`` (qid, constraints) are given.
+
+    A record's entities stand in its row, so it is scored where it lies; an entity of many records fills no task.
+    """
+    weights = hops(query_entities, records)
+    if hop is not None:
+        weights = weights.filter(F.col("hop") == hop)
+    # a request has at most 16 entities and five neighbours of each
+    weights = weights.groupBy("qid", "entity").agg(F.sum("weight").alias("weight"))
+    gathered = weights.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("entity", "weight"))).alias("weights"))
+    if requests is not None:
+        gathered = gathered.join(requests.select("qid", *CONSTRAINTS), "qid")
+    out = None
+    for part in blocks_of(gathered, block):
+        found = [(i, w["entity"], w["weight"]) for i, r in enumerate(part) for w in r["weights"]]
+        asked = Weights([{c: v for c, v in r.items() if c != "weights"} for r in part], found)
+        one = best_rows_by_terms(records, F.col("entities"), asked, k, filtered=requests is not None, now=now)
+        out = one if out is None else out.unionByName(one)
+    return top_k(out, "score", k)

@@ -18,6 +18,8 @@ from .ranking import top_k
 
 #: Constraints of a request that the vector leg applies before it scores.
 CONSTRAINTS = ("kinds", "tags", "session_id", "agent_id", "since", "until", "as_agent")
+#: Columns of a memory that constraints look at.
+FILTERED_BY = ("kind", "tags", "session_id", "agent_id", "created_at", "expires_at", "visibility")
 
 
 def eligible(request: dict, pdf: pd.DataFrame, now: int | None) -> np.ndarray:
@@ -42,17 +44,15 @@ def eligible(request: dict, pdf: pd.DataFrame, now: int | None) -> np.ndarray:
     return ok
 
 
-def in_blocks(queries: DataFrame, block: int) -> Iterator[list[dict]]:
-    """A stated query set as lists of at most ``block`` rows; vectors are arrays. One block comes by Arrow, more one after the other."""
+def blocks_of(queries: DataFrame, block: int) -> Iterator[list[dict]]:
+    """A stated query set as lists of at most ``block`` rows; an empty one as one empty list. One block comes by Arrow, more one after the other."""
     first = queries.limit(block + 1).toArrow()
     if first.num_rows <= block:
-        at = first.column_names.index("query_embedding")
-        rest = first.remove_column(at).to_pylist()
-        yield [r | {"query_embedding": np.asarray(v.values, float)} for r, v in zip(rest, first.column(at), strict=True)]
+        yield first.to_pylist()
         return
     part: list[dict] = []
     for r in queries.toLocalIterator():
-        part.append(r.asDict() | {"query_embedding": np.asarray(r["query_embedding"], float)})
+        part.append(r.asDict())
         if len(part) == block:
             yield part
             part = []
@@ -60,6 +60,12 @@ def in_blocks(queries: DataFrame, block: int) -> Iterator[list[dict]]:
         yield part
 
 
+def in_blocks(queries: DataFrame, block: int) -> Iterator[list[dict]]:
+    """``blocks_of`` with vectors as arrays."""
+    for part in blocks_of(queries, block):
+        yield [r | {"query_embedding": np.asarray(r["query_embedding"], float)} for r in part]
+
+
 def constraints_of(request: dict) -> tuple:
     return tuple(tuple(v) if isinstance(v, list) else v for v in map(request.get, CONSTRAINTS))
 
@@ -85,7 +91,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector:
     # read in blocks of `block` rows, so that a broadcast is bounded by that many vectors
     asked = queries.filter(F.col("query_embedding").isNotNull()).select(*names)
     kind = corpus.schema[key].dataType.simpleString()
-    columns = [key, vector] + (["kind", "tags", "session_id", "agent_id", "created_at", "expires_at", "visibility"] if filtered or now is not None else [])
+    columns = [key, vector] + (list(FILTERED_BY) if filtered or now is not None else [])
     out = None
 
     def scan(part: list[dict]) -> DataFrame:

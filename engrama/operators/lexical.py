@@ -1,17 +1,22 @@
 """Lexical search: postings, corpus statistics and BM25.
 
-Statistics cover the whole live corpus; a filter narrows only what is scored. Tokens are joined with the queries' terms
-before they are counted, so a search shuffles the postings of its terms alone.
+Statistics cover the whole live corpus; a filter narrows only what is scored. ``bm25_topk`` scans twice, once for the asked terms' statistics and
+once to score each row where it lies; ``bm25`` gives all scores, joining tokens with the queries' terms before they are counted;
+``bm25_indexed`` reads the asked terms' postings from an index.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..schema import BM25_B, BM25_K1
+from .knn import CONSTRAINTS, blocks_of
 from .ranking import top_k
+from .termscan import Weights, best_rows_by_terms, term_statistics
 
 
 def postings(corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -83,5 +88,28 @@ def bm25_indexed(requests: DataFrame, path: str, buckets: int = 256, key: str =
     return _score(posted, spark.read.parquet(f"{path}/stats"), terms, key, keep)
 
 
-def bm25_topk(requests: DataFrame, corpus: DataFrame, k: int, key: str = "id", text: str = "text", keep=None) -> DataFrame:
-    return top_k(bm25(requests, corpus, key, text, keep), "score", k, key=key)
+def term_weights(requests: list[dict], df: dict[str, int], n: int) -> list[tuple[int, str, float]]:
+    """(place of the request, term, times the term stands in it by its rarity); terms that no row holds are left out."""
+    out = []
+    for i, r in enumerate(requests):
+        times: dict[str, int] = {}
+        for t in r["terms"]:
+            times[t] = times.get(t, 0) + 1
+        out += [(i, t, m * math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1.0)) for t, m in times.items() if t in df]
+    return out
+
+
+def bm25_topk(requests: DataFrame, corpus: DataFrame, k: int, key: str = "id", text: str = "text", filtered: bool = False, now: int | None = None, where: Column | None = None, block: int = 4096) -> DataFrame:
+    """(qid, id, score, rank). ``where``, ``filtered`` (the requests' own constraints) and ``now`` narrow the scored rows.
+
+    ``requests`` are a stated set, taken in blocks; corpus rows are never shuffled.
+    """
+    asked = requests.select("qid", tokenize(F.col("query")).alias("terms"), *(CONSTRAINTS if filtered else ()))
+    out = None
+    for part in blocks_of(asked, block):
+        vocabulary = sorted({t for r in part for t in r["terms"]})
+        df, n, total = term_statistics(corpus, tokenize(F.col(text)), vocabulary) if vocabulary else ({}, 0, 0)
+        weights = Weights([{c: v for c, v in r.items() if c != "terms"} for r in part], term_weights(part, df, n))
+        one = best_rows_by_terms(corpus, tokenize(F.col(text)), weights, k, key, (BM25_K1, BM25_B, total / max(1, n)), filtered, now, where)
+        out = one if out is None else out.unionByName(one)
+    return top_k(out, "score", k, key=key)

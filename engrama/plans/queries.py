@@ -381,9 +381,7 @@ def bm25_topk(s, d):
 
 @query(f"WITH {REQ}, {bm25_ctes(scored=chr(39).join(['lang = ', 'fr', '']))} {ranked_sql('bm25', 'doc_id', 10)}")
 def bm25_filtered(s, d):
-    docs = table(s, d, "documents")
-    keep = lambda rows: rows.join(docs.filter("lang = 'fr'").select("doc_id"), "doc_id", "left_semi")
-    return _hits(lexical.bm25_topk(bench(s, d), docs, 10, "doc_id", keep=keep), "doc_id")
+    return _hits(lexical.bm25_topk(bench(s, d), table(s, d, "documents"), 10, "doc_id", where=F.col("lang") == "fr"), "doc_id")
 
 
 @query(f"WITH {REQ}, {bm25_ctes(where='source <> ' + repr('src3'))} {ranked_sql('bm25', 'doc_id', 10)}")
@@ -477,7 +475,7 @@ def _related_sql(where: str) -> str:
 
 
 for _name, _hop in (("graph_direct", 0), ("graph_one_hop", 1), ("graph_related", None)):
-    query(_related_sql("true" if _hop is None else f"hop = {_hop}"), _name)(lambda s, d, h=_hop: _hits(top_k(graph.related(_graph_requests(s, d), with_entities(s, d), h), "score", 20), "id"))
+    query(_related_sql("true" if _hop is None else f"hop = {_hop}"), _name)(lambda s, d, h=_hop: _hits(graph.related_topk(_graph_requests(s, d), with_entities(s, d), 20, hop=h), "id"))
 
 
 # ---------------------------------------------------------------- embedding, chunks

@@ -1,7 +1,7 @@
 """Batch recall: three ranked legs, reciprocal-rank fusion, recency and importance, five strategies.
 
 Requests are a DataFrame, so one job answers many. Legs carry ids only; records are joined to the fused candidates,
-at most 300 a request. Filters hold before a leg is cut to its candidates.
+at most 300 a request. All legs score rows where they lie; filters hold before a leg is cut to its candidates.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from ..operators.filters import request_matches
 from ..operators.ranking import fuse, importance_signal, recency, top_k
 from ..schema import CANDIDATES, RERANK_POOL, STRATEGIES, TOP_K
 
-FILTERED_BY = ("kind", "tags", "session_id", "agent_id", "created_at", "expires_at", "visibility")
-
 #: Defaults of a request's optional columns.
 OPTIONAL = {"strategy": "string", "as_agent": "string", "kinds": "array<string>", "tags": "array<string>", "session_id": "string", "agent_id": "string", "since": "bigint", "until": "bigint", "top_k": "int", "query_embedding": "array<double>"}
 
@@ -39,24 +37,12 @@ def complete(requests: DataFrame, embedder: Callable[[Column], Column] | None =
     })
 
 
-def _keep(memories: DataFrame, requests: DataFrame, now: int):
-    """Drops (qid, id, ...) rows whose memory does not meet the request."""
-
-    def keep(rows: DataFrame) -> DataFrame:
-        m = memories.select("id", *FILTERED_BY).alias("m")
-        r = requests.select("qid", "kinds", "tags", "session_id", "agent_id", "since", "until", "as_agent").alias("r")
-        joined = rows.alias("x").join(m, F.col("x.id") == F.col("m.id")).join(r, F.col("x.qid") == F.col("r.qid"))
-        return joined.filter(request_matches("m", "r", now)).select("x.*")
-
-    return keep
-
-
 def vector_leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDIDATES) -> DataFrame:
     return knn.knn(requests, memories, k, now=now, filtered=True)
 
 
 def lexical_leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDIDATES) -> DataFrame:
-    return lexical.bm25_topk(requests, memories, k, keep=_keep(memories, requests, now))
+    return lexical.bm25_topk(requests, memories, k, filtered=True, now=now)
 
 
 def query_entities(requests: DataFrame) -> DataFrame:
@@ -66,8 +52,14 @@ def query_entities(requests: DataFrame) -> DataFrame:
 
 def graph_leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDIDATES, post_filter: bool = False) -> DataFrame:
     """``post_filter``: cut to the candidates first and filter then."""
-    found, keep = graph.related(query_entities(requests), memories), _keep(memories, requests, now)
-    return keep(top_k(found, "score", k)) if post_filter else top_k(keep(found), "score", k)
+    entities = query_entities(requests)
+    if not post_filter:
+        return graph.related_topk(entities, memories, k, requests, now=now)
+    found = graph.related_topk(entities, memories, k).alias("x")
+    m = memories.select("id", *knn.FILTERED_BY).alias("m")
+    r = requests.select("qid", *knn.CONSTRAINTS).alias("r")
+    joined = found.join(m, F.col("x.id") == F.col("m.id")).join(r, F.col("x.qid") == F.col("r.qid"))
+    return joined.filter(request_matches("m", "r", now)).select("x.*")
 
 
 def strategy_weights(strategy: Column) -> list[Column]:
