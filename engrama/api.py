@@ -18,7 +18,8 @@ from .operators import aggregates, graph, ingest, lifecycle, oplog, records
 from .operators.filters import matching
 from .plans.recall import recall
 from .schema import BATCH_MAX, BATCH_MIN, CHECKPOINT_OPS, CONSOLIDATE_AFTER_S, DEDUP_COSINE, KNOWN_FACTS, MEMORY, SUPERSEDE_NEIGHBOURS, WORKING_TTL_S
-from .sources.store import Store
+from .sources.scratch import stored
+from .sources.store import Store, write_snapshot
 from .tenancy import BadRequest, Registry, validate
 
 
@@ -90,7 +91,7 @@ class Engine:
             raise BadRequest(bad[0]["problem"])
         first = self.store.manifest()["next"]
         # numbers within the batch, by content: a recomputed row keeps its own
-        numbered = asked.withColumn("__copy", F.row_number().over(W.partitionBy("text", "kind", "created_at", "session_id", "agent_id").orderBy(F.lit(1))))
+        numbered = asked.withColumn("__copy", F.row_number().over(W.partitionBy("text", "kind", "created_at", "session_id", "agent_id").orderBy(*[c for c in records.REQUEST_COLUMNS if c not in ("text", "kind", "created_at", "session_id", "agent_id")])))
         numbered = numbered.withColumn("__seq", F.concat_ws(":", F.lit(str(first)), "__copy")).drop("__copy")
         built = records.build(numbered, self.now(), self.namespace, self.config.working_ttl_s, self.plugins.embed).drop("__seq")
         self.store.append(oplog.remember_ops(built, first), **marks)
@@ -187,7 +188,7 @@ class Engine:
             self.store.append(oplog.forget_ops(swept, self.store.manifest()["next"]))
         live, by = self.live(), c.consolidate_by
         batched = lifecycle.batches(lifecycle.candidates(live, now, c.consolidate_after_s), c.batch_min, c.batch_max, by)
-        texts = lifecycle.summaries(batched, by, self.plugins.summarizer)
+        texts = stored(lifecycle.summaries(batched, by, self.plugins.summarizer), "summaries")  # the summariser is called once a batch
         heads = lifecycle.consolidated(batched, now, by)
         same = [F.col(f"h.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by] + [F.col("h.batch") == F.col("t.batch")]
         for s in same[1:]:
@@ -197,7 +198,7 @@ class Engine:
             "text", "kind", "created_at", "importance", "sources", "agent_id", "tags", "visibility", "session_id",
             F.to_json(F.struct(F.struct("count", F.col("from_ms").alias("from"), F.col("to_ms").alias("to")).alias("consolidated"))).alias("metadata"),
         )
-        built = records.build(asked, now, self.namespace, None, self.plugins.embed)
+        built = stored(self._with_centroids(records.build(asked, now, self.namespace, None, self.plugins.embed), live), "consolidated")
         first = self.store.manifest()["next"]
         ops = oplog.remember_ops(built, first).unionByName(oplog.forget_ops(built.select(F.explode("sources").alias("id")).distinct(), first))
         self.store.append(ops)
@@ -209,6 +210,16 @@ class Engine:
             report["checkpointed"] = True
         return report
 
+    def _with_centroids(self, built: DataFrame, live: DataFrame) -> DataFrame:
+        """Summaries whose vectors are not as long as the collection's get the centroid of their sources' vectors, which makes them found again."""
+        dim = self._dim()
+        if dim is None or not built.filter(F.size("embedding") != dim).limit(1).count():
+            return built
+        sources = built.select(F.col("id").alias("of"), F.explode("sources").alias("id")).join(live.filter(F.size("embedding") == dim).select("id", "embedding"), "id")
+        found = records.centroid(sources, "of").select(F.col("of").alias("id"), F.col("embedding").alias("__centroid"))
+        fits = F.size("embedding") == dim
+        return built.join(found, "id", "left").withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.col("__centroid"))).select(*built.columns)
+
     def checkpoint(self) -> bool:
         self.store.checkpoint()
         return True
@@ -234,19 +245,35 @@ class Engine:
         return live.count(), records.page(live, offset, limit)
 
     def top_entities(self, limit: int = 40) -> DataFrame:
-        return graph.top_entities(self.live(), min(limit, 200))
+        return graph.top_entities(self.live(), limit)
 
     def stats(self) -> dict:
         return aggregates.stats(self.live(), self.store.tail().count()).first().asDict()
 
 
+#: Rows that one answer of the HTTP routes lists.
+MOST_ROWS = 200
+#: Records in one answer of the snapshot route.
+MOST_SNAPSHOT = 10_000
+
+
 def routes(registry: Registry) -> dict[str, Callable[[str, dict], dict]]:
     """Route -> function of (namespace, body): what an HTTP server would call after authentication."""
     of = registry.get_or_create
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  answers of bounded size
 
+    def snapshot(ns: str, body: dict) -> dict:
+        """A page of a snapshot, or with ``path`` all of it as JSON lines in that folder. ``next``: the offset of the page that follows."""
+        found = of(ns).snapshot(body.get("session_id"))
+        if body.get("path"):
+            write_snapshot(found, body["path"])
+            return {"path": body["path"]}
+        offset, limit = int(body.get("offset", 0)), min(int(body.get("limit", MOST_SNAPSHOT)), MOST_SNAPSHOT)
+        page = rows(found.offset(offset).limit(limit + 1))
+        return {"snapshot": page[:limit], "next": offset + limit if len(page) > limit else None}
+
     def memories(ns: str, body: dict) -> dict:
-        total, page = of(ns).list_memories(int(body.get("offset", 0)), int(body.get("limit", 50)))
+        total, page = of(ns).list_memories(int(body.get("offset", 0)), min(int(body.get("limit", 50)), MOST_ROWS))
         return {"total": total, "records": rows(page.drop("embedding"))}
 
     def restore(ns: str, body: dict) -> dict:
@@ -260,10 +287,10 @@ def routes(registry: Registry) -> dict[str, Callable[[str, dict], dict]]:
         "/v1/forget": lambda ns, b: {"forgotten": of(ns).forget(b["id"])},
         "/v1/checkpoint": lambda ns, b: {"checkpointed": of(ns).checkpoint()},
         "/v1/lifecycle/run": lambda ns, b: {"report": of(ns).run_lifecycle()},
-        "/v1/snapshot": lambda ns, b: {"snapshot": rows(of(ns).snapshot(b.get("session_id")))},
+        "/v1/snapshot": snapshot,
         "/v1/restore": restore,
         "/v1/memories": memories,
-        "/v1/entities": lambda ns, b: {"entities": [{"name": r["entity"], "count": r["cnt"]} for r in of(ns).top_entities(int(b.get("limit", 40))).collect()]},
+        "/v1/entities": lambda ns, b: {"entities": [{"name": r["entity"], "count": r["cnt"]} for r in of(ns).top_entities(min(int(b.get("limit", 40)), MOST_ROWS)).collect()]},
         "/v1/namespaces": lambda ns, b: {"namespaces": registry.list()},
         "/v1/namespaces/drop": lambda ns, b: {"dropped": registry.drop(validate(b["namespace"]))},
         "/health": lambda ns, b: {"status": "ok", "namespace": ns, "stats": of(ns).stats()},

@@ -20,7 +20,9 @@ NAME, FIRST, LONE, TERM, OTHER = "\t", "\n", "\x0b", "\x0c", "\r"
 _BLANKS = r"[\s\x0B\x85\p{Z}]+"
 _BARE = r"^[^\p{L}\p{N}-]*+(.*[\p{L}\p{N}-])"
 _NAME = r"^\p{Lu}[\p{Ll}\p{N}]*+$"
-_STOPS = r"[.!?:;]$"
+_STOPS = (".", "!", "?", ":", ";")
+#: What every entity of a text has; other words are no more than a mark.
+_TELLING = r"[\p{Lu}\p{N}]"
 _ISLAND = f"[{NAME}{FIRST}][^{TERM}{OTHER}]*+|[{LONE}{TERM}][^{NAME}{FIRST}{LONE}{TERM}{OTHER}]++"
 _IN_RUN = f"[{NAME}{FIRST}{LONE}]"
 
@@ -32,12 +34,13 @@ def _marked(word: Column, starts: Column) -> Column:
     term = (number & word.rlike(r"\p{L}") & (size >= 3)) | (size.between(2, 6) & word.rlike(r"^\p{Lu}++$"))
     name = word.rlike(_NAME) & ~F.lower(word).isin(*STOPWORDS)
     mark = F.when(name, F.when(term, LONE).when(starts, FIRST).otherwise(NAME)).when(term, TERM).otherwise(OTHER)
-    return F.when(mark == OTHER, OTHER).otherwise(F.concat(mark, word))
+    return F.when((word == "") | (mark == OTHER), OTHER).otherwise(F.concat(mark, word))
 
 
 def _found(text: Column) -> Column:
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), _BLANKS), lambda x: x != "")
-    words = F.transform(raw, lambda x: F.struct(F.regexp_extract(x, _BARE, 1).alias("word"), x.rlike(_STOPS).alias("stops")))
+    bare = lambda x: F.when(x.rlike(_TELLING), F.regexp_extract(x, _BARE, 1)).otherwise("")
+    words = F.transform(raw, lambda x: F.struct(bare(x).alias("word"), F.substring(x, -1, 1).isin(*_STOPS).alias("stops")))
     before = F.concat(F.array(F.struct(F.lit("").alias("word"), F.lit(True).alias("stops"))), words)  # one more than there are words
     marked = F.array_join(F.zip_with(words, before, lambda w, b: F.coalesce(_marked(w["word"], b["stops"]), F.lit(""))), "")
     islands = F.filter(F.regexp_extract_all(marked, F.lit(f"({_ISLAND})"), 1), lambda m: ~(m.startswith(FIRST) & ~F.substring(m, 2, 2**31 - 1).rlike(_IN_RUN)))
@@ -63,7 +66,7 @@ def entities_of(text: str | None, tags=()) -> list[str]:
     """``extract_entities`` of one text, outside of Spark."""
     raw = [x for x in regex.split(_BLANKS, text or "") if x]
     bare = [m[1] if (m := regex.search(_BARE, x)) else "" for x in raw]
-    starts = [True, *(regex.search(_STOPS, x) is not None for x in raw[:-1])]
+    starts = [True, *(x.endswith(_STOPS) for x in raw[:-1])]
     islands = regex.findall(_ISLAND, "".join(map(_mark, bare, starts)))
     found = [regex.sub(_IN_RUN, " ", m[1:]) for m in islands if m[0] != FIRST or regex.search(_IN_RUN, m[1:])]
     keys = [e.lower() for e in (*(tags if tags is not None else ()), *found)]

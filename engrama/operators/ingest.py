@@ -96,3 +96,13 @@ def greedy_distinct(candidates: DataFrame, threshold: float = DEDUP_COSINE, grou
         return pdf[stays]
 
     return candidates.groupBy(group).applyInPandas(apply, candidates.schema)
+
+
+def reports(turns: DataFrame, found: DataFrame, kept: DataFrame, group: str = "exchange") -> DataFrame:
+    """(group, raw, extraction_ran, facts, duplicates) of exchanges: their turns, the facts found in them, and those that were kept."""
+    count = lambda rows, name: rows.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias(name))
+    out = turns.groupBy(group).agg(F.count(F.lit(1)).alias("raw"))
+    for rows, name in ((found, "found"), (kept, "facts")):
+        one = count(rows, name)
+        out = out.join(one, out[group].eqNullSafe(one["__of"]), "left").drop("__of").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out.select(group, "raw", (F.col("found") > 0).alias("extraction_ran"), "facts", (F.col("found") - F.col("facts")).alias("duplicates"))

@@ -1,7 +1,7 @@
 """Lexical search: postings, corpus statistics and BM25.
 
-Statistics cover the whole live corpus; a filter narrows only what is scored. ``bm25_topk`` scans twice, once for the asked terms' statistics and
-once to score each row where it lies; ``bm25`` gives all scores, joining tokens with the queries' terms before they are counted;
+Statistics cover the whole live corpus; a filter narrows only what is scored. ``bm25_topk`` scans the texts once,
+keeps the asked terms of each row in the shared folder, and from these takes statistics and scores each row where it lies; ``bm25`` gives all scores, joining tokens with the queries' terms before they are counted;
 ``bm25_indexed`` reads the asked terms' postings from an index.
 """
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..schema import BM25_B, BM25_K1
-from .knn import CONSTRAINTS, blocks_of
+from ..sources.scratch import stored
+from .knn import CONSTRAINTS, FILTERED_BY, blocks_of
 from .ranking import top_k
-from .termscan import Weights, best_rows_by_terms, term_statistics
+from .termscan import Weights, best_rows_by_terms, term_statistics, with_terms
 
 
 def postings(corpus: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -105,11 +106,13 @@ def bm25_topk(requests: DataFrame, corpus: DataFrame, k: int, key: str = "id", t
     ``requests`` are a stated set, taken in blocks; corpus rows are never shuffled.
     """
     asked = requests.select("qid", tokenize(F.col("query")).alias("terms"), *(CONSTRAINTS if filtered else ()))
+    more = [(F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__scored"), *(map(F.col, FILTERED_BY) if filtered or now is not None else ())]
     out = None
     for part in blocks_of(asked, block):
         vocabulary = sorted({t for r in part for t in r["terms"]})
-        df, n, total = term_statistics(corpus, tokenize(F.col(text)), vocabulary) if vocabulary else ({}, 0, 0)
-        weights = Weights([{c: v for c, v in r.items() if c != "terms"} for r in part], term_weights(part, df, n))
-        one = best_rows_by_terms(corpus, tokenize(F.col(text)), weights, k, key, (BM25_K1, BM25_B, total / max(1, n)), filtered, now, where)
+        found = stored(with_terms(corpus, key, vocabulary, text=F.col(text), more=more), "terms")
+        df, n, total = term_statistics(found, vocabulary)
+        weights = Weights([{c: v for c, v in r.items() if c != "terms"} for r in part], term_weights(part, df, n), vocabulary)
+        one = best_rows_by_terms(found.filter("__scored"), weights, k, key, (BM25_K1, BM25_B, total / max(1, n)), filtered, now)
         out = one if out is None else out.unionByName(one)
     return top_k(out, "score", k, key=key)

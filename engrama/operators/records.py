@@ -82,9 +82,9 @@ def snapshot(live: DataFrame, now: int, session_id: str | None = None) -> DataFr
     return matching(live, session_id=session_id, now=now).orderBy("created_at", "id")
 
 
-def page(live: DataFrame, offset: int = 0, limit: int = 50, most: int = 200) -> DataFrame:
+def page(live: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     """Newest first."""
-    return live.orderBy(F.desc("created_at"), "id").offset(offset).limit(min(limit, most))
+    return live.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
 
 
 def nearest(queries: DataFrame, live: DataFrame) -> DataFrame:

@@ -52,12 +52,11 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def bench(spark: SparkSession, d: str) -> DataFrame:
-    """A request per benchmark passage: its first eight words."""
-    words = F.slice(F.split("text", " "), 1, 8)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("query"))
+    """A request per benchmark passage, the whole of it."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-REQ = "req AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"
+REQ = "req AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 TOK = r"[x FOR x IN regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
 
 # ---------------------------------------------------------------- filters
@@ -174,22 +173,27 @@ def oplog_fold(s, d):
     return oplog.fold(_as_oplog(_ops(s, d))).select("id", "text", F.array_join("sources", ",").alias("sources"))
 
 
-@query()
+LOG = """WITH c AS (SELECT 'm' || conv_id || '-' || turn AS id, conv_id, turn FROM conversations)
+SELECT 1::BIGINT AS seq, 'remember' AS op, id FROM c UNION ALL SELECT 2, 'remember', id FROM c UNION ALL SELECT 3, 'forget', id FROM c WHERE (conv_id + turn) % 3 = 0
+UNION ALL SELECT 4, 'remember', id FROM c WHERE (conv_id + turn) % 6 = 0 UNION ALL SELECT 5 + turn, 'set_sources', id FROM c WHERE turn % 2 = 0"""
+
+
+@query(LOG)
 def oplog_scan(s, d):
     """Written as JSON lines in the shared folder and read back."""
     from ..sources.store import read_json_log, write_json_log
-    from .scratch import scratch
+    from ..sources.scratch import scratch
 
     path = scratch(s, "log")
     write_json_log(_as_oplog(_ops(s, d)), path)
     return read_json_log(s, path).select("seq", "op", "id")
 
 
-@query()
+@query(ORACLES["oplog_fold"])
 def compact(s, d):
     """A collection is filled, partly forgotten and compacted; its records are read back."""
     from ..sources.store import Store
-    from .scratch import scratch
+    from ..sources.scratch import scratch
 
     store = Store(s, scratch(s, "store"))
     store.append(_as_oplog(_ops(s, d)), 20)
@@ -267,7 +271,7 @@ def nearest_similarity(s, d):
 
 
 def _by_cells(s, d, mode: str) -> DataFrame:
-    from .scratch import scratch
+    from ..sources.scratch import scratch
 
     path = scratch(s, "cells")
     cells.write_index(table(s, d, "embeddings"), path, 16, mode, key="vec_id")
@@ -309,6 +313,23 @@ def sq8_knn(s, d):
     return _hits(knn.knn(probes(s, d), stored, 10, key="vec_id"))
 
 
+@query(f"WITH {SQ8} SELECT a.vec_id, round(list_inner_product(b.v, [a.lo + a.delta * c FOR c IN a.codes]), 6) AS dot FROM sq8 a JOIN sq8 b ON b.vec_id = a.vec_id + 1")
+def sq8_dot(s, d):
+    """Plain vectors against codes, which are never decoded."""
+    n = _next_vectors(s, d).withColumn("q", vx.sq8_encode(F.col("embedding")))
+    return n.select("vec_id", F.round(vx.sq8_dot(F.col("other"), F.col("q")), 6).alias("dot"))
+
+
+@query()
+def knn_index_recall(s, d):
+    """Of the index in both modes, against exact search."""
+    truth, out = knn_exact(s, d), None
+    for mode in ("never", "always"):
+        one = aggregates.recall_at_k(_by_cells(s, d, mode), truth, key="vec_id").withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {SQ8} SELECT a.vec_id, round(list_inner_product([a.lo + a.delta * c FOR c IN a.codes], [b.lo + b.delta * c FOR c IN b.codes]), 6) AS dot FROM sq8 a JOIN sq8 b ON b.vec_id = a.vec_id + 1")
 def sq8_dot_between(s, d):
     q = _sq8(s, d).select("vec_id", "q")
@@ -392,7 +413,7 @@ def bm25_after_forget(s, d):
 @query(ORACLES["bm25_topk"])
 def bm25_indexed(s, d):
     """From an index written first."""
-    from .scratch import scratch
+    from ..sources.scratch import scratch
 
     path = scratch(s, "postings")
     lexical.write_index(table(s, d, "documents"), path, 16, "doc_id")
@@ -423,6 +444,13 @@ ENT = entity_ctes("mem", "id", "text", "tags", "ent")
 QENT = entity_ctes("(SELECT qid, query FROM req)", "qid", "query", "[]::VARCHAR[]", "qent")
 
 
+def stored_entities(s, d) -> DataFrame:
+    """Derived once, as on ingest."""
+    from ..sources.scratch import stored
+
+    return stored(with_entities(s, d), "entities")
+
+
 def with_entities(s, d) -> DataFrame:
     return mem(s, d).withColumn("entities", extract_entities(F.col("text"), F.col("tags")))
 
@@ -464,8 +492,8 @@ hops AS (SELECT qid, entity, 1 / (1 + ln(1 + df)) AS weight, 0 AS hop FROM greq
  UNION ALL SELECT qid, dst, 0.3 / (1 + ln(1 + df)) * ln(1 + cnt), 1 FROM greq JOIN near ON src = greq.entity JOIN edf ON edf.entity = dst)"""
 
 
-def _graph_requests(s, d) -> DataFrame:
-    e = with_entities(s, d).select("session_id", F.explode("entities").alias("entity")).groupBy("session_id", "entity").count()
+def _graph_requests(m: DataFrame) -> DataFrame:
+    e = m.select("session_id", F.explode("entities").alias("entity")).groupBy("session_id", "entity").count()
     e = e.withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("count"), "entity"))).filter("n <= 3")
     return e.select(F.substring("session_id", 2, 9).cast("long").alias("qid"), "entity")
 
@@ -475,7 +503,7 @@ def _related_sql(where: str) -> str:
 
 
 for _name, _hop in (("graph_direct", 0), ("graph_one_hop", 1), ("graph_related", None)):
-    query(_related_sql("true" if _hop is None else f"hop = {_hop}"), _name)(lambda s, d, h=_hop: _hits(graph.related_topk(_graph_requests(s, d), with_entities(s, d), 20, hop=h), "id"))
+    query(_related_sql("true" if _hop is None else f"hop = {_hop}"), _name)(lambda s, d, h=_hop: _hits(graph.related_topk(_graph_requests(m := stored_entities(s, d)), m, 20, hop=h), "id"))
 
 
 # ---------------------------------------------------------------- embedding, chunks
@@ -535,16 +563,20 @@ def chunk_text(s, d):
 # ---------------------------------------------------------------- recall
 
 
+#: Where the memories of (application, folder) were derived.
+_DERIVED: dict[tuple[str, str], DataFrame] = {}
+
+
 def searchable(s, d) -> DataFrame:
-    """Memories with entities and vectors, derived once and stored, as on ingest: the legs read columns, not texts."""
-    from .scratch import scratch
+    """Memories with entities and vectors, derived once an application and stored, as on ingest: the legs read columns, not texts."""
+    from ..sources.scratch import stored
 
-    path = scratch(s, "memories")
-    # the fixture is one small file: dealt out, so that all cores embed
-    dealt = mem(s, d).repartition(s.sparkContext.defaultParallelism, "id")
-    derived = dealt.withColumn("entities", extract_entities(F.col("text"), F.col("tags"))).withColumn("embedding", hash_embed(F.col("text")))
-    derived.write.parquet(path)
-    return s.read.schema(derived.schema).parquet(path)
+    place = s.sparkContext.applicationId, d
+    if place not in _DERIVED:
+        # the fixture is one small file: dealt out, so that all cores embed
+        dealt = mem(s, d).repartition(s.sparkContext.defaultParallelism, "id")
+        _DERIVED[place] = stored(dealt.withColumn("entities", extract_entities(F.col("text"), F.col("tags"))).withColumn("embedding", hash_embed(F.col("text"))), "memories")
+    return _DERIVED[place]
 
 
 def requests(s, d, strategy: str = "balanced", **extra) -> DataFrame:
@@ -640,10 +672,18 @@ def context_assembly(s, d):
     return hits.groupBy("qid").agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), r["rank"], F.lit("] "), r["text"])), "\n").alias("context"))
 
 
-@query(f"WITH {REQ}, {bm25_ctes()}, r AS ({ranked_sql('bm25', 'doc_id', 5)}), a AS (SELECT qid, min(doc_id) AS doc_id, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS probe FROM (SELECT qid, doc_id FROM r WHERE rank = 2) GROUP BY qid) SELECT probe, count(DISTINCT a.qid) AS n, round(count(DISTINCT CASE WHEN r.doc_id IS NOT NULL THEN a.qid END) / count(DISTINCT a.qid), 6) AS hit_rate FROM a LEFT JOIN r ON r.qid = a.qid AND r.doc_id = a.doc_id GROUP BY probe")
+ANSWERS = "a AS (SELECT b.item_id AS qid, d.doc_id, CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS probe FROM benchmark b, documents d WHERE contains(d.text, b.text))"
+
+
+@query(f"WITH {REQ}, {bm25_ctes()}, r AS ({ranked_sql('bm25', 'doc_id', 5)}), {ANSWERS} SELECT probe, count(DISTINCT a.qid) AS n, round(count(DISTINCT CASE WHEN r.doc_id IS NOT NULL THEN a.qid END) / count(DISTINCT a.qid), 6) AS hit_rate FROM a LEFT JOIN r ON r.qid = a.qid AND r.doc_id = a.doc_id GROUP BY probe")
 def hit_at_k(s, d):
-    hits = lexical.bm25_topk(bench(s, d), table(s, d, "documents"), 10, "doc_id")
-    answers = hits.filter("rank = 2").select("qid", "doc_id", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("probe"))
+    """Of BM25; the right answers to a passage are the documents that hold it."""
+    docs = table(s, d, "documents")
+    hits = lexical.bm25_topk(bench(s, d), docs, 10, "doc_id")
+    # the stated requests as one array, beside every document
+    passages = bench(s, d).agg(F.collect_list(F.struct("qid", "query")).alias("p"))
+    held = docs.select("doc_id", "text", passages.scalar().alias("p")).select("doc_id", F.explode(F.filter("p", lambda p: F.contains("text", p["query"]))).alias("p"))
+    answers = held.select(F.col("p.qid").alias("qid"), "doc_id", F.when(F.col("p.qid") % 2 == 0, "even").otherwise("odd").alias("probe"))
     return aggregates.hit_at_k(hits, answers, 5, "doc_id").select("probe", "n", F.round("hit_rate", 6).alias("hit_rate"))
 
 
@@ -715,6 +755,14 @@ def consolidated_records(s, d):
     return rows.select("session_id", "batch", "kind", "importance", F.array_join("sources", ",").alias("sources"), "agent_id", F.array_join("tags", ",").alias("tags"), "visibility", "count", "from_ms", "to_ms")
 
 
+@query(f"""WITH {MEM}, {CAND}, {BATCH}, tk AS (SELECT session_id, batch, place, {TOK.format('text')} AS t FROM batched), df AS (SELECT session_id, batch, term, count(*) AS df FROM (SELECT session_id, batch, unnest(list_distinct(t)) AS term FROM tk) GROUP BY ALL),
+sums AS (SELECT session_id, batch, place, sum(df) AS total FROM (SELECT session_id, batch, place, unnest(list_distinct(t)) AS term FROM tk) JOIN df USING (session_id, batch, term) GROUP BY ALL)
+SELECT tk.session_id, tk.batch, tk.place, round(coalesce(total, 0) / (len(t) + 3.0), 6) AS score FROM tk LEFT JOIN sums USING (session_id, batch, place)""")
+def summary_scores(s, d):
+    rows = lifecycle.central(lifecycle.batches(lifecycle.candidates(mem(s, d), NOW_MS)))
+    return rows.select("session_id", "batch", "place", F.round("score", 6).alias("score"))
+
+
 @query()
 def extractive_summary(s, d):
     return lifecycle.summaries(lifecycle.batches(lifecycle.candidates(mem(s, d), NOW_MS)))
@@ -744,11 +792,11 @@ def dedup_greedy(s, d):
 @query("""WITH c AS (SELECT conv_id, count(*) AS raw, count(*) FILTER (role = 'assistant') AS facts, count(DISTINCT CASE WHEN role = 'assistant' THEN text END) AS distinct_facts FROM conversations GROUP BY conv_id)
 SELECT conv_id, raw, facts > 0 AS extraction_ran, distinct_facts AS facts, facts - distinct_facts AS duplicates FROM c""")
 def ingest_report(s, d):
-    """Reports of all conversations, an assistant's turn standing for a fact; equal texts are duplicates."""
+    """Reports of all conversations, an assistant's turn standing for a fact; equal texts have equal vectors and are duplicates."""
     c = table(s, d, "conversations")
-    fact = F.when(F.col("role") == "assistant", F.col("text"))
-    out = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("raw"), F.count(fact).alias("found"), F.count_distinct(fact).alias("facts"))
-    return out.select("conv_id", "raw", (F.col("found") > 0).alias("extraction_ran"), "facts", (F.col("found") - F.col("facts")).alias("duplicates"))
+    facts = c.filter("role = 'assistant'").withColumn("embedding", hash_embed(F.col("text")))
+    kept = ingest.greedy_distinct(facts, 0.999999, group="conv_id", order="turn")
+    return ingest.reports(c, facts, kept, "conv_id").select("conv_id", "raw", "extraction_ran", "facts", "duplicates")
 
 
 @query()

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def graph_leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDI
     return joined.filter(request_matches("m", "r", now)).select("x.*")
 
 
+def all_legs(requests: DataFrame, memories: DataFrame, now: int) -> dict[str, DataFrame]:
+    """The three legs. What each asks of the cluster before it can be planned (terms, statistics, neighbours) is asked at the same time."""
+    found: dict[str, DataFrame | BaseException] = {}
+
+    def make(name: str, leg: Callable) -> None:
+        try:
+            found[name] = leg(requests, memories, now)
+        except BaseException as e:  # noqa: BLE001  raised again below
+            found[name] = e
+
+    legs = {"vector": vector_leg, "lexical": lexical_leg, "graph": graph_leg}
+    threads = [InheritableThread(target=make, args=x, session=memories.sparkSession) for x in legs.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for name in legs:
+        if isinstance(found[name], BaseException):
+            raise found[name]
+    return {name: found[name] for name in legs}
+
+
 def strategy_weights(strategy: Column) -> list[Column]:
     def pick(i: int) -> Column:
         out = F.lit(STRATEGIES["balanced"][i])
@@ -78,7 +101,7 @@ def recall(requests: DataFrame, memories: DataFrame, now: int, reranker: Callabl
     ``memories`` need ``embedding`` and ``entities``. vector, lexical and graph are contributions before the strategy's weights.
     """
     requests = complete(requests, embedder)
-    legs = {"vector": vector_leg(requests, memories, now), "lexical": lexical_leg(requests, memories, now), "graph": graph_leg(requests, memories, now)}
+    legs = all_legs(requests, memories, now)
     asked = requests.select("qid", "strategy", "top_k", "query")
     rows = fuse(legs).join(memories.select("id", "text", "created_at", F.col("importance").alias("__importance")), "id").join(asked, "qid")
     rows = rows.withColumn("recency", recency(F.col("created_at"), now)).withColumn("importance", importance_signal(F.col("__importance").cast("double")))

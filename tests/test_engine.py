@@ -4,11 +4,13 @@ import logging
 import threading
 import urllib.error
 import urllib.request
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engrama.api import Config, Engine, Plugins
+from engrama.api import Config, Engine, Plugins, routes
 from engrama.metrics import Metrics, log_request
 from engrama.plugins import chat_client, chat_extractor, chat_reranker, chat_superseder, content_client, dimension_of, embedding_column, embeddings_client, keyword_reranker, parse_scores
 from engrama.server import serve, stdio
@@ -288,3 +290,39 @@ def test_clients(spark):
     column = embedding_column(lambda texts: [[float(len(t))] for t in texts], prefix="query: ")
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     assert [r[0] for r in df.select(column(F.col("t"))).collect()] == [[9.0], None]
+
+
+def test_summaries_of_supplied_vectors_are_found(spark, tmp_path):
+    """Vectors longer than the embedder's: a summary gets the centroid of its sources, and the summariser is called once a batch."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def summarizer(memories):
+        (calls / uuid.uuid4().hex).write_text(str(len(memories)))
+        return "in short: " + memories[0]
+
+    now = 1_706_659_200_000
+    engine = Engine(spark, f"file://{tmp_path}/c", plugins=Plugins(summarizer=summarizer), clock=lambda: now)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(6, 384)) * 0.1 + rng.normal(size=384)
+    old = now - 30 * 86_400_000
+    engine.remember_batch([{"text": f"note {i}", "session_id": "s" if i < 5 else "other", "created_at": old + i, "embedding": v.tolist()} for i, v in enumerate(vectors)]).count()
+    report = engine.run_lifecycle()
+    assert report["batches"] == 1 and report["consolidated"] == 5 and len(list(calls.iterdir())) == 1
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = unit[:5].sum(axis=0) / np.linalg.norm(unit[:5].sum(axis=0))
+    hit = engine.recall([{"query": "", "query_embedding": want.tolist(), "strategy": "semantic", "top_k": 1}]).first()
+    assert hit["text"].startswith("in short") and hit["vector"] > 0
+    found = engine.live().filter("kind = 'semantic'").first()
+    assert np.allclose(found["embedding"], want) and len(found["sources"]) == 5
+
+
+def test_snapshot_route_is_paged(spark, tmp_path):
+    registry = Registry(spark, f"file://{tmp_path}/r", lambda root, name: Engine(spark, root, name, clock=lambda: NOW))
+    table = routes(registry)
+    table["/v1/remember_batch"]("default", {"items": [{"text": f"note {i}", "created_at": 1_704_067_200_000 + i} for i in range(7)]})
+    first = table["/v1/snapshot"]("default", {"limit": 5})
+    rest = table["/v1/snapshot"]("default", {"limit": 5, "offset": first["next"]})
+    assert [r["text"] for r in first["snapshot"] + rest["snapshot"]] == [f"note {i}" for i in range(7)] and rest["next"] is None
+    table["/v1/snapshot"]("default", {"path": f"file://{tmp_path}/export"})
+    assert spark.read.json(f"file://{tmp_path}/export").count() == 7
