@@ -318,7 +318,7 @@ def test_summaries_of_supplied_vectors_are_found(spark, tmp_path):
 
 
 def test_snapshot_route_is_paged(spark, tmp_path):
-    registry = Registry(spark, f"file://{tmp_path}/r", lambda root, name: Engine(spark, root, name, clock=lambda: NOW))
+    registry = Registry(spark, f"file://{tmp_path}/r", lambda s, root, name: Engine(s, root, name, clock=lambda: NOW))
     table = routes(registry)
     table["/v1/remember_batch"]("default", {"items": [{"text": f"note {i}", "created_at": 1_704_067_200_000 + i} for i in range(7)]})
     first = table["/v1/snapshot"]("default", {"limit": 5})
