@@ -8,14 +8,13 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from engrama.llm import quality
 from engrama.llm.queries import RATE, ROUNDS, TARGETS
 from engrama.llm.tokens import vocabulary_path
 
 from .helpers import docs_of, with_odd_keys
 from .test_linededup import brute as dedup
 from .test_mixing import brute_rake
-from .test_quality import brute_base, prose
+from .test_quality import brute_base, brute_kept, prose
 from .test_simhash import brute_classes, brute_print
 
 
@@ -34,11 +33,9 @@ def test_against_brute_force(spark, tmp_path):
     got = {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     meta = {r["doc_id"]: (r["source"] or "(none)", r["lang"] or "(none)") for r in docs.collect()}
-    known, lists = quality.references(docs), quality._encoded(quality.COMMON)
     rows = {}
     for i, t in enumerate(texts):
-        lang = quality._language(docs_lang(i), quality.COMMON)
-        kept = quality.judge((t or "").encode(), lang, known[lang], lists[lang], (0.24, 0.16), 200, 100)[-1]
+        kept = brute_kept(t, docs_lang(i))
         assert not (kept and brute_base(t)[-1])
         if kept:
             rows[i] = t
