@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .functions.embedding import hash_embed
 from .operators import aggregates, graph, ingest, lifecycle, oplog, records
+from .operators import cells as vector_cells
 from .operators.filters import matching
-from .plans.recall import recall
-from .schema import BATCH_MAX, BATCH_MIN, CHECKPOINT_OPS, CONSOLIDATE_AFTER_S, DEDUP_COSINE, KNOWN_FACTS, MEMORY, SUPERSEDE_NEIGHBOURS, WORKING_TTL_S
+from .operators.ranking import top_k
+from .plans.recall import recall, vector_leg
+from .schema import BATCH_MAX, BATCH_MIN, CANDIDATES, CHECKPOINT_OPS, CONSOLIDATE_AFTER_S, DEDUP_COSINE, KNOWN_FACTS, MEMORY, SUPERSEDE_NEIGHBOURS, WORKING_TTL_S
 from .sources.scratch import stored
 from .sources.store import Store, write_snapshot
 from .tenancy import BadRequest, Registry, validate
@@ -125,7 +127,7 @@ class Engine:
             requests = self.spark.createDataFrame([(r.get("qid", i), r.get("query", ""), *[r.get(n) for n in OPTIONAL]) for i, r in enumerate(requests)], schema)
         live = self.live()
         query = self.plugins.embed_query or self.plugins.embed
-        hits = recall(requests, live, self.now(), self.plugins.reranker if rerank else None, query)
+        hits = recall(requests, live, self.now(), self.plugins.reranker if rerank else None, query, self._indexed_leg())
         return hits.join(live.drop("embedding", "importance"), "id")
 
     def ingest(self, turns: Sequence[dict], session_id: str | None = None, agent_id: str | None = None, tags: Sequence[str] = (), created_at: int | None = None, visibility: str | None = None, store_raw: bool = True, extract: bool = True, supersede: bool = False, dedup_threshold: float = DEDUP_COSINE) -> IngestReport:
@@ -220,13 +222,48 @@ class Engine:
         fits = F.size("embedding") == dim
         return built.join(found, "id", "left").withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.col("__centroid"))).select(*built.columns)
 
+    def build_index(self, cells: int = 64, mode: str = "auto") -> None:
+        """Write an index of the live vectors, which ``recall`` uses from then on; the one before stays until ``compact``."""
+        m = self.store.manifest()
+        name = f"index/v{m['version'] + 1:012d}"
+        self.store.files.delete(name)  # what a failed attempt left
+        vector_cells.write_index(self.live(), f"{self.store.root}/{name}", cells, mode, filtered=True)
+        self.store.commit(index=name, indexed=m["next"])
+
+    def refresh_index(self) -> None:
+        """Bring what changed since the index was written into it. A broken attempt may be repeated: what it appended is removed first."""
+        m = self.store.manifest()
+        if not m.get("index"):
+            return
+        touched = self.store.tail().filter(F.col("seq") >= m["indexed"]).select("id").distinct()
+        if not touched.isEmpty():
+            path = f"{self.store.root}/{m['index']}"
+            vector_cells.remove(touched, path)
+            vector_cells.append(self.live().join(touched, "id", "left_semi"), path)
+        self.store.commit(indexed=m["next"])
+
+    def _indexed_leg(self) -> Callable | None:
+        """The leg of vectors by the index, and by exact search over rows changed since; None without an index, or if changes left the log unseen."""
+        m = self.store.manifest()
+        if not m.get("index") or m["indexed"] < m["tail"]:
+            return None
+
+        def leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDIDATES) -> DataFrame:
+            touched = self.store.tail().filter(F.col("seq") >= m["indexed"]).select("id").distinct()
+            found = vector_cells.search(requests, f"{self.store.root}/{m['index']}", k, filtered=True, now=now, without=touched)
+            late = vector_leg(requests, memories.join(touched, "id", "left_semi"), now, k)
+            return top_k(found.unionByName(late).drop("rank"), "score", k)
+
+        return leg
+
     def checkpoint(self) -> bool:
+        self.refresh_index()
         self.store.checkpoint()
         return True
 
     def compact(self) -> None:
         """Rewrite the live rows and drop what is no longer needed."""
-        self.store.checkpoint()
+        self.checkpoint()
         self.store.vacuum()
 
     def snapshot(self, session_id: str | None = None) -> DataFrame:

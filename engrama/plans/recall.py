@@ -63,7 +63,7 @@ def graph_leg(requests: DataFrame, memories: DataFrame, now: int, k: int = CANDI
     return joined.filter(request_matches("m", "r", now)).select("x.*")
 
 
-def all_legs(requests: DataFrame, memories: DataFrame, now: int) -> dict[str, DataFrame]:
+def all_legs(requests: DataFrame, memories: DataFrame, now: int, vector: Callable | None = None) -> dict[str, DataFrame]:
     """The three legs. What each asks of the cluster before it can be planned (terms, statistics, neighbours) is asked at the same time."""
     found: dict[str, DataFrame | BaseException] = {}
 
@@ -73,7 +73,7 @@ def all_legs(requests: DataFrame, memories: DataFrame, now: int) -> dict[str, Da
         except BaseException as e:  # noqa: BLE001  raised again below
             found[name] = e
 
-    legs = {"vector": vector_leg, "lexical": lexical_leg, "graph": graph_leg}
+    legs = {"vector": vector or vector_leg, "lexical": lexical_leg, "graph": graph_leg}
     threads = [InheritableThread(target=make, args=x, session=memories.sparkSession) for x in legs.items()]
     for t in threads:
         t.start()
@@ -95,13 +95,14 @@ def strategy_weights(strategy: Column) -> list[Column]:
     return [pick(i) for i in range(4)]
 
 
-def recall(requests: DataFrame, memories: DataFrame, now: int, reranker: Callable[[str, list[str]], list[float]] | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+def recall(requests: DataFrame, memories: DataFrame, now: int, reranker: Callable[[str, list[str]], list[float]] | None = None, embedder: Callable[[Column], Column] | None = None, vector: Callable | None = None) -> DataFrame:
     """Hits: qid, rank, id, score and the signals vector, lexical, graph, recency, importance, rerank.
 
     ``memories`` need ``embedding`` and ``entities``. vector, lexical and graph are contributions before the strategy's weights.
+    ``vector``: another leg of vectors, such as an index.
     """
     requests = complete(requests, embedder)
-    legs = all_legs(requests, memories, now)
+    legs = all_legs(requests, memories, now, vector)
     asked = requests.select("qid", "strategy", "top_k", "query")
     rows = fuse(legs).join(memories.select("id", "text", "created_at", F.col("importance").alias("__importance")), "id").join(asked, "qid")
     rows = rows.withColumn("recency", recency(F.col("created_at"), now)).withColumn("importance", importance_signal(F.col("__importance").cast("double")))

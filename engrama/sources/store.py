@@ -116,11 +116,14 @@ class Store:
         return self.commit(snapshot=name, tail=m["next"], generation=m["generation"] + 1)
 
     def vacuum(self) -> None:
-        """Drop snapshots, logs and manifests that no current reader starts from."""
+        """Drop snapshots, indexes, logs and manifests that no current reader starts from."""
         m = self.manifest()
         for name in self.files.list("snapshots"):
             if f"snapshots/{name}" != m["snapshot"]:
                 self.files.delete(f"snapshots/{name}")
+        for name in self.files.list("index"):
+            if f"index/{name}" != m.get("index"):
+                self.files.delete(f"index/{name}")
         for name in self.files.list("log"):
             if int(name[1:]) < m["generation"]:
                 self.files.delete(f"log/{name}")

@@ -85,6 +85,41 @@ def test_index_of_mixed_lengths(spark, tmp_path):
     assert got == rows(knn.knn(asked, corpus, 5)) and got[98, 1] == 1011 and got[97, 1] == 2000 and {q for q, _ in got} == {0, 1, 2, 3, 4, 97, 98}
 
 
+def test_index_filters_appends_and_removes(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 16)).astype(np.float32).astype(float)
+    carried = "id long, embedding array<double>, kind string, tags array<string>, session_id string, agent_id string, created_at long, expires_at long, visibility string"
+    rows = [(i, x.tolist(), ("semantic", "episodic")[i % 2], ["a", "b"][: i % 3], None, f"agent{i % 4}" if i % 5 else None, i, 50 if i % 7 == 0 else None, ("shared", "private")[i % 2]) for i, x in enumerate(v)]
+    make = lambda some: spark.createDataFrame(some, carried)
+    odd = (900, [1.0, 2.0], "semantic", [], None, None, 1, None, "shared")
+    wants = [(i, v[i].tolist(), [None, ["semantic"]][i % 2], [None, ["a"]][i // 2 % 2], None, 100 if i % 3 == 0 else None, "agent1" if i % 2 else None) for i in range(12)]
+    wants += [(98, [1.0, 1.0], None, None, None, None, None), (97, v[0].tolist(), ["none"], None, None, None, None)]
+    asked = spark.createDataFrame(wants, "qid long, query_embedding array<double>, kinds array<string>, tags array<string>, session_id string, since long, as_agent string").withColumns({"agent_id": F.lit(None).cast("string"), "until": F.lit(None).cast("long")})
+    ids = lambda some: spark.createDataFrame([(i,) for i in some], "id long")
+    got = lambda df: {(r["qid"], r["rank"]): r["id"] for r in df.collect()}
+    left = [r for r in rows if not (r[0] % 10 == 3 and r[0] >= 20)] + [odd]
+    truth = knn.knn(asked, make(left), 10, now=60, filtered=True)
+    for mode in ("never", "always"):
+        path = f"{tmp_path}/{mode}"
+        cells.write_index(make(rows[:200]), path, 6, mode, filtered=True)
+        cells.remove(ids([*range(3, 300, 10), 12345]), path)  # rows yet to come are not meant
+        cells.append(make([*rows[200:], odd, rows[3], rows[13]]), path)
+        cells.remove(ids(range(203, 300, 10)), path)
+        make(rows[20:30]).select("id", "embedding").write.parquet(f"{path}/rest/gen=9")  # left by a write that failed
+        found = cells.search(asked, path, 10, n_probe=1, block=5, filtered=True, now=60)
+        assert got(found) == got(truth) if mode == "never" else aggregates.recall_at_k(found, truth).first()["recall"] >= 0.95
+        assert {r["id"] for r in found.collect()} <= {r[0] for r in left} and 97 not in {q for q, _ in got(found)}
+        fewer = cells.search(asked, path, 10, n_probe=1, filtered=True, now=60, without=ids(range(0, 300, 2)))
+        assert all(i % 2 for i in got(fewer).values() if i != 900)
+    plain = f"{tmp_path}/plain"
+    cells.write_index(make(rows), plain, 6, "always")
+    whole = knn.knn(asked, make(rows), 10)
+    by_codes, by_vectors = (aggregates.recall_at_k(cells.search(asked, plain, 10, bounded=True, rerank=n), whole).first()["recall"] for n in (0, 4))
+    assert by_vectors == 1 >= by_codes
+    with pytest.raises(ValueError):
+        cells.search(asked, plain, 10, now=60)
+
+
 def test_term_index_gives_the_same(spark, tmp_path):
     rng = random.Random(8)
     corpus = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 30)))) for i in range(80)], "id string, text string")
